@@ -61,7 +61,7 @@ def manifest(
     cap: int = DATA_ROWS,
     workbook_rows: int = WORKBOOK_ROWS,
     sheet_label: str = SHEET_LABEL,
-    default_stem: str = "export",
+    bases: DataFrame | None = None,
 ) -> DataFrame:
     """One row per sheet with file name, sheet name, number of the sheet in its workbook and rows.
 
@@ -75,7 +75,8 @@ def manifest(
     files = unique_file_stems(
         files.withColumn("_clean", clean_file_stem(F.col(DEST_FILE))), "_clean", "file_stem", [SOURCE_FILE]
     )
-    bases = base_names(destinations, run_id, default_stem)
+    if bases is None:
+        bases = base_names(destinations, run_id)
     files = files.select(SOURCE_FILE, DEST_FILE, "file_stem").join(bases, SOURCE_FILE)
 
     parts = sheet_parts(destinations, cap)

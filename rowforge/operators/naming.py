@@ -111,6 +111,9 @@ def _unique(
     candidate = F.when(pos == 0, name).otherwise(F.concat(cut_for(F.length(suffix) - 1), suffix))
     at_name = Window.partitionBy(*[col(s) for s in scope], F.lower(candidate)).orderBy(ROW_ID)
 
+    repeated = df.groupBy(*[col(s) for s in scope], F.lower(name)).count().filter("count > 1")
+    if repeated.isEmpty():
+        return df.withColumn(out, name)
     state, top = spread(df.withColumn("_pos", F.lit(0).cast("long")))
     while top:
         checked = state.withColumn("_late", F.row_number().over(at_name) > 1)
