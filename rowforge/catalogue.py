@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labels import OTHERS_LABEL, PIVOT_LABEL, SHEET_LABEL, TOTAL_LABEL
+from .labels import (
+    OTHERS_LABEL,
+    PIVOT_COLUMN_HEADER,
+    PIVOT_LABEL,
+    PIVOT_METRIC_HEADER,
+    PIVOT_VALUE_HEADER,
+    TOTAL_LABEL,
+)
 from .operators import (
     clean_file_stem,
     clean_sheet_name,
@@ -41,8 +48,13 @@ from .operators import (
     unique_file_stems,
     unique_sheet_names,
     with_row_id,
+    with_source,
 )
+from .plans.export import export, export_batch
 from .plans.spec import ExportSpec, PivotSpec
+from .runtime import scratch_dir
+from .sinks.csv import write_csv
+from .sources.delimited import profile_batch, read_delimited
 from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +485,19 @@ def pv_text_coercion(spark: SparkSession, sf: str) -> DataFrame:
     return pivot_long(events.select("event_type", "cell"), PivotSpec(("event_type",), (), values))
 
 
+@query(
+    "SELECT l_returnflag AS row_key, i AS idx, CASE i WHEN 0 THEN sum(l_quantity) FILTER (WHERE l_linestatus = 'F') "
+    "WHEN 1 THEN CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS DOUBLE) WHEN 2 THEN sum(l_quantity) FILTER "
+    "(WHERE l_linestatus = 'O') ELSE CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) END AS value "
+    "FROM lineitem, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY l_returnflag, i"
+)
+def pv_grid(spark: SparkSession, sf: str) -> DataFrame:
+    values = (("l_quantity", "sum"), ("l_quantity", "count"))
+    spec = PivotSpec(("l_returnflag",), ("l_linestatus",), values)
+    _, rows = pivot_grid(with_source(read_table(spark, sf, "lineitem")), spec)
+    return rows.select(F.col("row_key")[0].alias("row_key"), F.posexplode("cells").alias("idx", "value"))
+
+
 # ---------------------------------------------------------------- layout and names
 
 _LAYOUT = ExportSpec(
@@ -571,3 +596,101 @@ def nm_file(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bt_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return export_metrics(read_table(spark, sf, "lineitem"), _FORECAST, "run")
+
+
+# ---------------------------------------------------------------- text files and outputs
+
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+_ORDERS_AS_TEXT = (
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, "
+    "o_orderpriority FROM orders"
+)
+
+
+def _orders_as_csv(spark: SparkSession, sf: str) -> str:
+    """The orders as a folder of CSV files."""
+    folder = scratch_dir(spark, "orders")
+    write_csv(read_table(spark, sf, "orders").select(*_ORDER_COLUMNS), folder)
+    return folder
+
+
+@query(
+    "SELECT 'utf-8' AS encoding, ';' AS delimiter, 'o_orderkey|o_custkey|o_orderstatus|o_orderpriority' AS headers, "
+    "count(*) AS n_rows, CAST(0 AS BIGINT) AS n_ragged FROM orders"
+)
+def src_profile(spark: SparkSession, sf: str) -> DataFrame:
+    profile = profile_batch(spark, _orders_as_csv(spark, sf)).filter("error IS NULL")
+    return profile.groupBy("encoding", "delimiter", F.array_join("headers", "|").alias("headers")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_ragged").alias("n_ragged")
+    )
+
+
+@query(_ORDERS_AS_TEXT)
+def snk_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return read_delimited(spark, _orders_as_csv(spark, sf)).select(*_ORDER_COLUMNS)
+
+
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text, lang FROM documents"
+)
+def src_quoted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole multi-line texts through CSV and back."""
+    folder = scratch_dir(spark, "documents")
+    write_csv(read_table(spark, sf, "documents").select("doc_id", "text", "lang"), folder)
+    return read_delimited(spark, folder).select("doc_id", "text", "lang")
+
+
+@query(_ORDERS_AS_TEXT.replace("SELECT", "SELECT o_orderpriority AS dest_file,", 1))
+def snk_split_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_dir(spark, "split")
+    spec = ExportSpec(output_format="csv", file_split_column="o_orderpriority")
+    export(read_table(spark, sf, "orders").select(*_ORDER_COLUMNS), spec, folder, "run")
+    back = read_delimited(spark, folder)
+    dest = F.regexp_extract("source_file", r"file_name=export \(conver_run\)_(.*)\.csv/", 1)
+    return back.select(dest.alias("dest_file"), *_ORDER_COLUMNS)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def snk_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_dir(spark, "parquet")
+    spec = ExportSpec(
+        output_format="parquet",
+        filter_column="o_orderstatus",
+        filter_values=("F", "O"),
+        file_split_column="o_orderstatus",
+    )
+    export(read_table(spark, sf, "orders").select(*_ORDER_COLUMNS), spec, folder, "run")
+    return spark.read.parquet(folder).select(*_ORDER_COLUMNS)
+
+
+@query(
+    "SELECT '' AS source_file, o_orderstatus AS dest_file, o_orderpriority AS dest_sheet, CAST(1 AS INTEGER) AS "
+    "sheet_part, 'export (conver_run)_' || o_orderstatus || '.xlsx' AS file_name, o_orderpriority AS sheet_name, "
+    "count(*) AS n_rows, CAST(NULL AS VARCHAR) AS error FROM orders GROUP BY o_orderstatus, o_orderpriority"
+)
+def snk_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    spec = ExportSpec(file_split_column="o_orderstatus", sheet_split_column="o_orderpriority")
+    orders = read_table(spark, sf, "orders").select(*_ORDER_COLUMNS)
+    return export(orders, spec, scratch_dir(spark, "books"), "run")
+
+
+@query(
+    f"SELECT l_returnflag, l_linestatus AS \"{PIVOT_COLUMN_HEADER}\", 'l_quantity_sum' AS \"{PIVOT_METRIC_HEADER}\", "
+    f"printf('%.1f', sum(l_quantity)) AS \"{PIVOT_VALUE_HEADER}\" FROM lineitem GROUP BY ALL UNION ALL SELECT "
+    f"l_returnflag, l_linestatus, 'l_quantity_count', CAST(count(*) AS VARCHAR) FROM lineitem GROUP BY ALL"
+)
+def snk_pivot_csv(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_dir(spark, "pivot")
+    values = (("l_quantity", "sum"), ("l_quantity", "count"))
+    spec = ExportSpec(output_format="csv", pivot=PivotSpec(("l_returnflag",), ("l_linestatus",), values))
+    lineitem = read_table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    export(lineitem, spec, folder, "run")
+    back = read_delimited(spark, f"{folder}/file_name=export (conver_run)_{PIVOT_LABEL}.csv")
+    return back.drop("source_file", "row_id")
+
+
+@query("SELECT o_orderpriority AS dest_file, count(*) AS n_rows FROM orders GROUP BY o_orderpriority")
+def bt_batch(spark: SparkSession, sf: str) -> DataFrame:
+    spec = ExportSpec(output_format="csv", file_split_column="o_orderpriority")
+    done = export_batch(spark, _orders_as_csv(spark, sf), spec, scratch_dir(spark, "batch"), "run")
+    return done.filter("error IS NULL").groupBy("dest_file").agg(F.sum("n_rows").alias("n_rows"))

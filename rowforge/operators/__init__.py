@@ -23,6 +23,6 @@ from .numbering import number_rows, position_rows, running, with_row_id
 from .pivot import pivot_grid, pivot_long, pivot_wide
 from .projection import select_columns
 from .routing import route
-from .shape import destinations, export_metrics, shape
+from .shape import destinations, export_metrics, shape, with_source
 
 __all__ = [name for name in dir() if not name.startswith("_")]
