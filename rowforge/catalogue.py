@@ -52,7 +52,7 @@ from .operators import (
 )
 from .plans.export import export, export_batch
 from .plans.spec import ExportSpec, PivotSpec
-from .runtime import scratch_dir
+from .runtime import materialize, scratch_dir
 from .sinks.csv import write_csv
 from .sources.delimited import profile_batch, read_delimited
 from .sources.tables import read_table
@@ -537,7 +537,7 @@ _MANIFEST_SQL = (
 @query(_MANIFEST_SQL)
 def lay_manifest(spark: SparkSession, sf: str) -> DataFrame:
     spec = ExportSpec(file_split_column="l_returnflag", sheet_split_column="l_linestatus")
-    counts = destinations(shape(_ordered_lineitem(spark, sf), spec))
+    counts = materialize(destinations(shape(_ordered_lineitem(spark, sf), spec)))
     return manifest(counts, "run", cap=999).drop("workbook_part", "sheet_no")
 
 

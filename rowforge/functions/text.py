@@ -19,9 +19,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def is_blank(c: Column) -> Column:
+def is_blank(c: Column, dtype: T.DataType | None = None) -> Column:
     """True for an absent cell, an empty cell and a cell of whitespace only."""
-    return F.coalesce(strip(c) == F.lit(""), F.lit(True))
+    if dtype is not None and not isinstance(dtype, T.StringType):
+        return c.isNull()
+    # A first byte in the visible ASCII range settles the common case without trimming.
+    visible = (c >= F.lit("!")) & (c < F.lit("\x7f"))
+    return F.when(visible, F.lit(False)).otherwise(F.coalesce(F.ltrim(c, F.lit(WHITESPACE)) == F.lit(""), F.lit(True)))
 
 
 def pad_absent(c: Column) -> Column:

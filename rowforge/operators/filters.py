@@ -64,6 +64,19 @@ def filter_in(
     return _semi(df, cell, value_table(df.sparkSession, listed, "_wanted", keep_short), keep_short)
 
 
+def mark_in(df: DataFrame, column: str | None, values: Iterable[str] | None, out: str) -> DataFrame:
+    """Flag the rows the export filter keeps, for counting kept and dropped rows in one pass."""
+    field = find(df, column) if column else None
+    listed = list(dict.fromkeys(values or ()))
+    if field is None or not listed:
+        return df.withColumn(out, F.lit(True))
+    cell = as_text(col(field.name), field.dataType)
+    if len(listed) <= LITERAL_VALUES:
+        return df.withColumn(out, F.coalesce(cell.isin(*listed), F.lit(False)))
+    joined = df.join(value_table(df.sparkSession, listed, "_wanted"), cell == F.col("_wanted"), "left")
+    return joined.withColumn(out, F.col("_wanted").isNotNull()).drop("_wanted")
+
+
 def _semi(df: DataFrame, cell: Column, wanted: DataFrame, null_matches: bool) -> DataFrame:
     key = F.col("_wanted")
     return df.join(wanted, cell.eqNullSafe(key) if null_matches else cell == key, "left_semi")
@@ -73,5 +86,5 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
     """Drop rows in which every data cell is blank."""
     blank = F.lit(True)
     for field in data_fields(df):
-        blank = blank & is_blank(as_text(col(field.name), field.dataType))
+        blank = blank & is_blank(col(field.name), field.dataType)
     return df.filter(~blank)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import DEST_FILE, DEST_SHEET, ROW_ID, SOURCE_FILE, col, data_fields, find, headers, label, missing
 from ..functions import as_text, contains_ci, is_blank
 from ..plans.spec import ExportSpec
+from ..runtime import materialize
 from .filters import filter_in
-from .numbering import number_rows, position_rows, running, with_row_id
+from .numbering import number_rows, position_rows, running, slice_of, with_row_id
 from .shape import shape, with_source
 
 # Pages up to this row come from a top-k; deeper ones from distributed positions.
@@ -28,7 +29,7 @@ def distinct_values(
         return df.select(F.lit("").alias("value")).filter(F.lit(False))
     df = filter_in(df, filter_column, filter_values, short_rows="keep")
     value = as_text(col(field.name), field.dataType)
-    return df.filter(~is_blank(value)).select(value.alias("value")).distinct().orderBy("value")
+    return df.filter(~is_blank(col(field.name), field.dataType)).select(value.alias("value")).distinct().orderBy("value")
 
 
 def search_values(values: DataFrame, text: str) -> DataFrame:
@@ -124,19 +125,40 @@ def row_matches(df: DataFrame, text: str, column: str | None = None) -> Column:
 
 
 def search_rows(
-    df: DataFrame, text: str, column: str | None = None, order_by: Sequence[str] = (ROW_ID,)
+    df: DataFrame, text: str, column: str | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:
     """0-based positions of the matching rows with their ``order_by`` columns.
 
-    Only the order columns and one flag are sorted, never the searched texts.
+    Text tables keep input order by default and need no sort: a position is the number of rows in
+    earlier blocks plus the place in the block. For another order, the order columns and one flag are
+    stored first, so that sampling and sorting never touch the searched texts again.
     """
-    narrow = df.select(*map(col, order_by), row_matches(df, text, column).alias("_hit"))
-    if list(order_by) == [ROW_ID]:
-        narrow = narrow.withColumnRenamed(ROW_ID, "_order")
-        placed = position_rows(narrow, ["_order"]).withColumnRenamed("_order", "row_id")
-    else:
-        placed = position_rows(narrow, list(order_by))
-    return placed.filter("_hit").select("row_pos", *map(col, order_by))
+    order = list(order_by) or [c for c in (SOURCE_FILE, ROW_ID) if c in df.columns]
+    hit = row_matches(df, text, column)
+    if not order_by and ROW_ID in df.columns:
+        blocks = _dense_blocks(df)
+        if blocks is not None:
+            by = [c for c in order if c != ROW_ID]
+            hits = df.filter(hit).select(*map(col, order), slice_of().alias("_slice"))
+            position = F.col("_before") + F.col(ROW_ID) - F.col("_first")
+            return hits.join(blocks, [*by, "_slice"]).select(position.alias("row_pos"), *map(col, order))
+    narrow = materialize(df.select(*map(col, order), hit.alias("_hit")), "search")
+    return position_rows(narrow, order).filter("_hit").select("row_pos", *map(col, order))
+
+
+def _dense_blocks(df: DataFrame) -> DataFrame | None:
+    """Rows before each block and its first row id, or None if rows are missing from a block."""
+    by = [c for c in (SOURCE_FILE,) if c in df.columns]
+    blocks = df.groupBy(*by, slice_of().alias("_slice")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(ROW_ID).alias("_first"), F.max(ROW_ID).alias("_last")
+    )
+    blocks = materialize(blocks, "blocks")
+    if not blocks.filter("_last - _first + 1 != _n").isEmpty():
+        return None
+    # A few numbers per block of the input; a source has as many rows here as it has blocks.
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    return blocks.withColumn("_before", before).drop("_n", "_last")
 
 
 def search_summary(
@@ -145,15 +167,13 @@ def search_summary(
     """One row: number of matches and the page of the first one (NULL without matches).
 
     The first match is the smallest order key among the matches, and its position is the number of
-    smaller keys, so two plain aggregates do; nothing is sorted or shuffled. ``order_by`` names one
-    unique column.
+    smaller keys. So one pass over the texts and one over the keys do; nothing is sorted or shuffled.
+    ``order_by`` names one unique column.
     """
-    hit = row_matches(df, text, column)
     key = col(order_by)
-    flagged = df.select(key.alias("_key"), hit.alias("_hit"))
-    first = flagged.filter("_hit").agg(F.min("_key").alias("_first"))
-    before = F.count_if(F.col("_key") < first.scalar())
-    return flagged.agg(F.count_if("_hit").alias("n_matches"), before.alias("_before")).select(
+    hits = df.filter(row_matches(df, text, column)).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+    before = df.select(key.alias("_key")).agg(F.count_if(F.col("_key") < hits.select("first").scalar()).alias("_before"))
+    return before.select(hits.select("n").scalar().alias("n_matches"), "_before").select(
         "n_matches",
         F.when(F.col("n_matches") > 0, F.floor(F.col("_before") / size) + 1).cast("long").alias("first_page"),
     )

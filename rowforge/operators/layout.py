@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import DEST_FILE, DEST_SHEET, ROW_ID, SOURCE_FILE
@@ -17,6 +17,8 @@ from .shape import DESTINATION
 # Fixed value: rows of a full sheet, the header row included.
 SHEET_ROWS = 1_000_000
 DATA_ROWS = SHEET_ROWS - 1
+# Base name of the outputs of a typed table.
+DEFAULT_STEM = "export"
 # Rows of one workbook before the next one is started. A workbook is written by one task.
 WORKBOOK_ROWS = 10 * SHEET_ROWS
 
@@ -46,10 +48,19 @@ def file_stem(source_file: Column) -> Column:
     return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", "")
 
 
-def base_names(sources: DataFrame, run_id: str, default_stem: str = "export") -> DataFrame:
+def base_names(sources: DataFrame, run_id: str) -> DataFrame:
     """``source_file, base_name``: stem, ``_2``, ``_3`` .. for later files in path order, run id."""
     ordered = number_rows(with_row_id(sources.select(SOURCE_FILE).distinct(), [SOURCE_FILE]), "_i")
-    stem = F.when(F.col(SOURCE_FILE) == "", default_stem).otherwise(file_stem(F.col(SOURCE_FILE)))
+    return _base_name(ordered, run_id)
+
+
+def single_base_name(spark: SparkSession, run_id: str) -> DataFrame:
+    """The same for a typed table, which is one unnamed source."""
+    return _base_name(spark.range(1).select(F.lit("").alias(SOURCE_FILE), F.lit(1).alias("_i")), run_id)
+
+
+def _base_name(ordered: DataFrame, run_id: str) -> DataFrame:
+    stem = F.when(F.col(SOURCE_FILE) == "", DEFAULT_STEM).otherwise(file_stem(F.col(SOURCE_FILE)))
     later = F.when(F.col("_i") > 1, F.concat(F.lit("_"), F.col("_i").cast("string"))).otherwise("")
     return ordered.select(SOURCE_FILE, F.concat(stem, later, F.lit(f" (conver_{run_id})")).alias("base_name"))
 
@@ -65,12 +76,12 @@ def manifest(
 ) -> DataFrame:
     """One row per sheet with file name, sheet name, number of the sheet in its workbook and rows.
 
-    ``destinations`` holds one row per destination with ``n_rows`` and ``first_row_id``. Names are
+    ``destinations`` holds one row per destination with ``n_rows`` and ``first_row_id``; it is read
+    several times, so pass a stored one. Names are
     given in the order in which outputs first get a row; rolled-over sheets come after the first
     sheets. A workbook past ``workbook_rows`` rows goes on in a next one, so a destination of any
     size is spread over tasks of bounded size.
     """
-    destinations = materialize(destinations, "destinations")
     files = destinations.groupBy(SOURCE_FILE, DEST_FILE).agg(F.min("first_row_id").alias(ROW_ID))
     files = unique_file_stems(
         files.withColumn("_clean", clean_file_stem(F.col(DEST_FILE))), "_clean", "file_stem", [SOURCE_FILE]

@@ -23,16 +23,15 @@ def slice_of(row_id: str = ROW_ID) -> Column:
     return F.shiftright(F.col(row_id), SLICE_BITS)
 
 
-def with_row_id(df: DataFrame, order_by: Sequence[Column | str] = ()) -> DataFrame:
+def with_row_id(df: DataFrame, order_by: Sequence[Column | str] = (), name: str = ROW_ID) -> DataFrame:
     """Add row ids in scan order, or in the order of ``order_by``.
 
     Scan order costs nothing. An explicit order is one global sort, stored so that every later
     branch sees the same ids.
     """
     if not order_by:
-        return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
-    ordered = df.drop(ROW_ID).orderBy(*order_by)
-    return materialize(ordered.withColumn(ROW_ID, F.monotonically_increasing_id()), "ordered")
+        return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+    return materialize(df.orderBy(*order_by).withColumn(name, F.monotonically_increasing_id()), "ordered")
 
 
 def running(
@@ -82,14 +81,14 @@ def number_rows(df: DataFrame, out: str = "row_no", keys: Sequence[str] = (), ro
 
 def position_rows(df: DataFrame, order_by: Sequence[Column | str] = (), out: str = "row_pos") -> DataFrame:
     """0-based position of every row. Ids given here have no gaps, so no window is needed at all."""
-    numbered = with_row_id(df.drop(ROW_ID), order_by)
-    counts = numbered.groupBy(slice_of().alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = with_row_id(df, order_by, "_place")
+    counts = numbered.groupBy(slice_of("_place").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition of the sorted input: the window and the broadcast stay that small.
     before = counts.select("_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    offset = F.col(ROW_ID).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
+    offset = F.col("_place").bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
     return (
-        numbered.join(F.broadcast(before), slice_of() == F.col("_s"))
+        numbered.join(F.broadcast(before), slice_of("_place") == F.col("_s"))
         .withColumn(out, F.col("_before") + offset)
-        .drop("_s", "_before")
+        .drop("_place", "_s", "_before")
     )

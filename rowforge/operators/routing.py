@@ -19,20 +19,25 @@ def route(
     selected: Iterable[str] = (),
     out: str = "dest_file",
     others_label: str = OTHERS_LABEL,
+    drop: bool = True,
 ) -> DataFrame:
     """Add the destination of each row; rows with a blank or absent value have none and are dropped.
 
+    With ``drop=False`` they stay, with a NULL destination.
+
     With a chosen set, values outside it share the others label. A data value equal to that label
     falls into the same destination. Values are not trimmed.
     """
     field = require(df, column)
     cell = as_text(col(field.name), field.dataType)
-    df = df.filter(~is_blank(cell))
+    filled = ~is_blank(col(field.name), field.dataType)
+    if drop:
+        df = df.filter(filled)
     chosen = list(dict.fromkeys(selected or ()))
-    if not chosen:
-        return df.withColumn(out, cell)
-    if len(chosen) <= LITERAL_VALUES:
-        return df.withColumn(out, F.when(cell.isin(*chosen), cell).otherwise(F.lit(others_label)))
-    known = value_table(df.sparkSession, chosen, "_chosen")
-    joined = df.join(known, cell == F.col("_chosen"), "left")
-    return joined.withColumn(out, F.coalesce(F.col("_chosen"), F.lit(others_label))).drop("_chosen")
+    value = cell
+    if len(chosen) > LITERAL_VALUES:
+        df = df.join(value_table(df.sparkSession, chosen, "_chosen"), cell == F.col("_chosen"), "left")
+        value = F.coalesce(F.col("_chosen"), F.lit(others_label))
+    elif chosen:
+        value = F.when(cell.isin(*chosen), cell).otherwise(F.lit(others_label))
+    return df.withColumn(out, value if drop else F.when(filled, value)).drop("_chosen")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, headers
 from ..plans.spec import ExportSpec
 from .dedup import drop_duplicate_rows
-from .filters import filter_in
-from .projection import resolve_selection, select_columns
+from .filters import filter_in, mark_in
+from .projection import output_cell, resolve_selection, select_columns
 from .routing import route
 
 DESTINATION = (SOURCE_FILE, DEST_FILE, DEST_SHEET)
@@ -17,14 +17,17 @@ DESTINATION = (SOURCE_FILE, DEST_FILE, DEST_SHEET)
 
 def routed(df: DataFrame, spec: ExportSpec) -> DataFrame:
     """Filtered rows with their destination; an unused level of it is the empty string."""
-    df = filter_in(df, spec.filter_column, spec.filter_values)
+    df = _destination(filter_in(df, spec.filter_column, spec.filter_values), spec)
+    return df.withColumns({c: F.coalesce(col(c), F.lit("")) for c in (DEST_FILE, DEST_SHEET)})
+
+
+def _destination(df: DataFrame, spec: ExportSpec, drop: bool = True) -> DataFrame:
     for column, values, out in (
         (spec.file_split_column, spec.file_split_values, DEST_FILE),
         (spec.sheet_split_column, spec.sheet_split_values, DEST_SHEET),
     ):
         if column:
-            df = route(df, column, values, out, spec.others_label)
-            df = df.withColumn(out, F.coalesce(col(out), F.lit("")))
+            df = route(df, column, values, out, spec.others_label, drop)
         else:
             df = df.withColumn(out, F.lit(""))
     return df
@@ -69,24 +72,29 @@ def export_metrics(df: DataFrame, spec: ExportSpec, run_id: str = "") -> DataFra
     """One row of counters for a job, from a single pass over the input."""
     labels = headers(df)
     spec = spec.normalise(labels)
-    df = with_source(df)
-    kept = filter_in(df, spec.filter_column, spec.filter_values)
-    counts = df.agg(F.count(F.lit(1)).alias("rows_in")).withColumn("_one", F.lit(1))
-    after = kept.agg(F.count(F.lit(1)).alias("rows_kept")).withColumn("_one", F.lit(1))
-    out = routed(df, spec)
-    keys = list(DESTINATION)
-    if spec.removes_duplicates(labels):
-        keys += [f.name for f in resolve_selection(out, spec.selected_columns)]
-    per_row = out.groupBy(*map(col, dict.fromkeys(keys))).agg(F.count(F.lit(1)).alias("n"))
-    removed = F.col("n") - 1 if spec.removes_duplicates(labels) else F.lit(0)
-    per_output = per_row.groupBy(*DESTINATION).agg(F.sum("n").alias("n"), F.sum(removed).alias("removed"))
-    total = per_output.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_routed"),
-        F.coalesce(F.sum("removed"), F.lit(0)).alias("duplicates_removed"),
-        F.count(F.lit(1)).alias("outputs"),
-    ).withColumn("_one", F.lit(1))
-    return (
-        counts.join(after, "_one")
-        .join(total, "_one")
-        .select(F.lit(run_id).alias("run_id"), "rows_in", "rows_kept", "rows_routed", "duplicates_removed", "outputs")
+    unique = spec.removes_duplicates(labels)
+    marked = mark_in(with_source(df), spec.filter_column, spec.filter_values, "_kept")
+    marked = _destination(marked, spec, drop=False)
+    placed = F.col("_kept") & col(DEST_FILE).isNotNull() & col(DEST_SHEET).isNotNull()
+    keys = {c: F.when(F.col("_routed"), col(c)) for c in DESTINATION}
+    if unique:
+        keys |= {f.name: F.when(F.col("_routed"), output_cell(f)) for f in resolve_selection(df, spec.selected_columns)}
+    # Rows without a destination share one group per flag; copies of output rows collapse map-side.
+    by = [value.alias(f"_k{i}") for i, value in enumerate(keys.values())]
+    per_row = marked.withColumn("_routed", placed).groupBy("_kept", "_routed", *by).agg(F.count(F.lit(1)).alias("n"))
+    removed = F.col("n") - 1 if unique else F.lit(0)
+    per_output = per_row.groupBy("_kept", "_routed", *[f"_k{i}" for i in range(len(DESTINATION))]).agg(
+        F.sum("n").alias("n"), F.sum(removed).alias("removed")
+    )
+
+    def total(value: Column, flag: str | None = None) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(flag), value) if flag else value), F.lit(0))
+
+    return per_output.agg(
+        F.lit(run_id).alias("run_id"),
+        total(F.col("n")).alias("rows_in"),
+        total(F.col("n"), "_kept").alias("rows_kept"),
+        total(F.col("n"), "_routed").alias("rows_routed"),
+        total(F.col("removed"), "_routed").alias("duplicates_removed"),
+        F.count_if("_routed").alias("outputs"),
     )

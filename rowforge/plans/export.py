@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, headers, label, unique_physical_names
 from ..functions import as_text, float_text, pad_absent
 from ..labels import PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER
-from ..operators.layout import DATA_ROWS, WORKBOOK_ROWS, base_names, manifest, place_rows
+from ..operators.layout import DATA_ROWS, WORKBOOK_ROWS, base_names, manifest, place_rows, single_base_name
 from ..operators.numbering import number_rows, with_row_id
 from ..operators.pivot import metric_name, pivot_grid, pivot_long
 from ..operators.shape import destinations, shape, with_source
@@ -42,18 +42,22 @@ def export(
     """
     labels = headers(df)
     spec = spec.normalise(labels)
+    typed = SOURCE_FILE not in df.columns
     source = with_row_id(with_source(df), order_by)
     rows = shape(source, spec)
     if spec.removes_duplicates(labels):
         # Naming and writing both start from here; the duplicates are removed once.
         rows = materialize(rows, "rows")
-    if bases is None:
-        bases = base_names(source, run_id)
-    bases = materialize(bases, "bases")
+    counts = materialize(destinations(rows), "destinations")
+    if bases is None and typed:
+        bases = single_base_name(df.sparkSession, run_id)
+    elif bases is None:
+        # A pivot also needs the sources of which no row is left.
+        bases = materialize(base_names(source if spec.pivot else counts, run_id), "bases")
     sheets = spec.output_format == "xlsx"
     extension = spec.output_format
     plan = manifest(
-        destinations(rows), run_id, extension, cap if sheets else _ENDLESS, workbook_rows, spec.sheet_label, bases
+        counts, run_id, extension, cap if sheets else _ENDLESS, workbook_rows, spec.sheet_label, bases
     )
     plan = materialize(plan, "manifest")
 
