@@ -56,6 +56,7 @@ from .runtime import materialize, scratch_dir
 from .sinks.csv import write_csv
 from .sources.delimited import profile_batch, read_delimited
 from .sources.tables import read_table
+from .streaming.landing import export_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -694,3 +695,12 @@ def bt_batch(spark: SparkSession, sf: str) -> DataFrame:
     spec = ExportSpec(output_format="csv", file_split_column="o_orderpriority")
     done = export_batch(spark, _orders_as_csv(spark, sf), spec, scratch_dir(spark, "batch"), "run")
     return done.filter("error IS NULL").groupBy("dest_file").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("SELECT o_orderpriority AS dest_file, count(*) AS n_rows FROM orders GROUP BY o_orderpriority")
+def st_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    spec = ExportSpec(output_format="csv", file_split_column="o_orderpriority")
+    out = scratch_dir(spark, "arrivals")
+    export_arrivals(spark, _orders_as_csv(spark, sf), spec, out, scratch_dir(spark, "progress")).awaitTermination()
+    done = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/manifest")
+    return done.filter("error IS NULL").groupBy("dest_file").agg(F.sum("n_rows").alias("n_rows"))

@@ -162,21 +162,23 @@ def _dense_blocks(df: DataFrame) -> DataFrame | None:
 
 
 def search_summary(
-    df: DataFrame, text: str, size: int, column: str | None = None, order_by: str = ROW_ID
+    df: DataFrame, text: str, size: int, column: str | None = None, order_by: str = ""
 ) -> DataFrame:
     """One row: number of matches and the page of the first one (NULL without matches).
 
-    The first match is the smallest order key among the matches, and its position is the number of
-    smaller keys. So one pass over the texts and one over the keys do; nothing is sorted or shuffled.
-    ``order_by`` names one unique column.
+    ``order_by`` names one unique column. The first match is the smallest key among the matches, and
+    its position is the number of smaller keys, so one pass over the texts and one over the keys do;
+    nothing is sorted or shuffled. Without it, positions are those of the input order.
     """
-    key = col(order_by)
-    hits = df.filter(row_matches(df, text, column)).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-    before = df.select(key.alias("_key")).agg(F.count_if(F.col("_key") < hits.select("first").scalar()).alias("_before"))
-    return before.select(hits.select("n").scalar().alias("n_matches"), "_before").select(
-        "n_matches",
-        F.when(F.col("n_matches") > 0, F.floor(F.col("_before") / size) + 1).cast("long").alias("first_page"),
-    )
+    if order_by:
+        key = col(order_by)
+        hits = df.filter(row_matches(df, text, column)).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+        before = df.select(key.alias("_key")).filter(F.col("_key") < hits.select("first").scalar())
+        found = before.agg(F.count(F.lit(1)).alias("_at")).select(hits.select("n").scalar().alias("n_matches"), "_at")
+    else:
+        found = search_rows(df, text, column).agg(F.count(F.lit(1)).alias("n_matches"), F.min("row_pos").alias("_at"))
+    first = F.when(F.col("n_matches") > 0, F.floor(F.col("_at") / size) + 1)
+    return found.select("n_matches", first.cast("long").alias("first_page"))
 
 
 def mark_cells(rows: DataFrame, text: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, headers, label, unique_physical_names
 from ..functions import as_text, float_text, pad_absent
 from ..labels import PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER
+from ..operators.filters import filter_in
 from ..operators.layout import DATA_ROWS, WORKBOOK_ROWS, base_names, manifest, place_rows, single_base_name
 from ..operators.numbering import number_rows, with_row_id
 from ..operators.pivot import metric_name, pivot_grid, pivot_long
@@ -34,17 +36,21 @@ def export(
     cap: int = DATA_ROWS,
     workbook_rows: int = WORKBOOK_ROWS,
     bases: DataFrame | None = None,
+    mode: str = "append",
 ) -> DataFrame:
     """Write all outputs of a job below ``path`` and return the manifest, one row per sheet or file.
 
     Rows keep input order, or the order of ``order_by``. ``bases`` gives the base name per source
-    file; without it the names follow from the sources at hand.
+    file; without it the names follow from the sources at hand. With ``mode="overwrite"`` CSV and
+    parquet outputs replace what ``path`` holds; workbooks replace those of the same name.
     """
     labels = headers(df)
     spec = spec.normalise(labels)
     typed = SOURCE_FILE not in df.columns
-    source = with_row_id(with_source(df), order_by)
-    rows = shape(source, spec)
+    source = with_source(df)
+    # The filter comes first: row ids would keep it from the scan, and dropped rows need not be sorted.
+    kept = filter_in(source, spec.filter_column, spec.filter_values)
+    rows = shape(with_row_id(kept, order_by), replace(spec, filter_column="", filter_values=()))
     if spec.removes_duplicates(labels):
         # Naming and writing both start from here; the duplicates are removed once.
         rows = materialize(rows, "rows")
@@ -67,7 +73,7 @@ def export(
         names = plan.select(SOURCE_FILE, DEST_FILE, "file_name")
         named = rows.join(names, [SOURCE_FILE, DEST_FILE])
         write = write_csv if extension == "csv" else write_parquet
-        write(named, path, mode="append")
+        write(named, path, mode=mode)
         if spec.pivot:
             write(_pivot_csv(source, spec, bases), path, mode="append")
     name = F.col("sheet_name") if sheets else F.lit(None).cast("string")
@@ -188,6 +194,7 @@ def export_batch(
     run_id: str,
     keep_blank_rows: bool = False,
     skip_unreadable: bool = False,
+    mode: str = "append",
     **options: int,
 ) -> DataFrame:
     """Export many text files with one spec; files with the same dialect and header share a job.
@@ -201,7 +208,8 @@ def export_batch(
     result = profile.filter("error IS NOT NULL").select(SOURCE_FILE, *empty, "error")
     for table in read_batch(spark, paths, keep_blank_rows, profile=profile):
         try:
-            part = export(table.df, spec, path, run_id, bases=bases, **options)
+            part = export(table.df, spec, path, run_id, bases=bases, mode=mode, **options)
+            mode = "append"
         except Exception as failure:  # one table must not stop the others
             rows = [(f, str(failure).splitlines()[0]) for f in table.files]
             part = spark.createDataFrame(rows, "source_file string, error string").select(SOURCE_FILE, *empty, "error")

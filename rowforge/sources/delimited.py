@@ -62,16 +62,20 @@ def _repaired(width: int, delimiter: str, fallback: bool) -> list[Column]:
     return cells
 
 
-def _read_group(
+def read_dialect(
     spark: SparkSession,
     files: Sequence[str],
     encoding: str,
     delimiter: str,
     headers: Sequence[str],
     splittable: bool,
-    keep_blank_rows: bool,
+    keep_blank_rows: bool = False,
     mark_ragged: bool = False,
 ) -> DataFrame:
+    """Files of a known dialect and header, without a profile pass over them.
+
+    ``splittable`` promises that no quoted cell holds a line end.
+    """
     width = len(headers)
     schema = ", ".join([*(f"_c{i} string" for i in range(width)), f"{_RAW} string"])
     options = {
@@ -160,7 +164,7 @@ def read_batch(
             headers = _first_record(spark, g.files[0], g.encoding, g.delimiter)
             if not headers:
                 continue
-        df = _read_group(spark, g.files, g.encoding, g.delimiter, headers, g.splittable, keep_blank_rows, mark_ragged)
+        df = read_dialect(spark, g.files, g.encoding, g.delimiter, headers, g.splittable, keep_blank_rows, mark_ragged)
         tables.append(TextTable(df, tuple(headers), tuple(g.files), g.encoding, g.delimiter, g.splittable))
     return tables
 

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
-from rowforge.operators import filter_in, pivot_long
+from rowforge.operators import filter_in, page, pivot_long, search_rows, search_summary
 from rowforge.plans.spec import PivotSpec
-from rowforge.sources.delimited import batch_total, profile_batch, read_batch, read_delimited
+from rowforge.sources.delimited import batch_total, profile_batch, read_batch, read_delimited, read_dialect
 from rowforge.sources.profile import profile_files
 
 
@@ -194,3 +194,25 @@ def test_profile_is_one_shuffle_without_python(spark, fleet):
     (table,) = read_batch(spark, os.path.join(fleet, "enc_utf8.csv"))
     plan = table.df.agg(F.count(F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_search_and_pages_in_file_order(spark, tmp_path):
+    rows = [f"{i},{'Needle' if i % 701 == 5 else 'hay'} {i}" for i in range(9000)]
+    path = put(tmp_path, "hay.csv", "a,b\n" + "\n".join(rows) + "\n")
+    other = put(tmp_path, "other.csv", "a,b\nneedle,1\nx,NEEDLE\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        (table,) = read_batch(spark, [path, other])
+        found = {(base(r.source_file), r.row_pos) for r in search_rows(table.df, "needle").collect()}
+        want = {("hay.csv", i) for i in range(9000) if i % 701 == 5} | {("other.csv", 0), ("other.csv", 1)}
+        assert found == want
+        # Rows missing from a block: positions come from a sort instead.
+        odd = table.df.filter("try_cast(a AS int) % 2 = 1 and source_file like '%hay%'")
+        assert sorted(r.row_pos for r in search_rows(odd, "needle").collect()) == [
+            i // 2 for i in range(9000) if i % 701 == 5 and i % 2
+        ]
+        one = read_dialect(spark, [path], "utf-8", ",", ["a", "b"], True)
+        assert tuple(search_summary(one, "needle 706", 50).first()) == (2, 706 // 50 + 1)
+        assert [r.a for r in page(one, 3, 100).collect()] == [str(i) for i in range(200, 300)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
