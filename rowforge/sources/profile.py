@@ -76,10 +76,25 @@ def profile_files(spark: SparkSession, paths: Sequence[str], skip_unreadable: bo
     unreadable = {"ignoreCorruptFiles": "true"} if skip_unreadable else {}
     lines = text_lines(spark, paths, **unreadable)
     value = F.col("value")
-    found = lines.groupBy(SOURCE_FILE).agg(
-        _first_line(value.cast("binary")).alias("head"),
-        F.bool_and(F.is_valid_utf8(value)).alias("valid"),
-        *[F.bool_and(whole_cells(value, d)).alias(f"whole{i}") for i, d in enumerate(DELIMITERS)],
+    # What a line shows against its file: not UTF-8, or cells that go on in the next line.
+    issues = F.when(F.is_valid_utf8(value), 0).otherwise(1)
+    for i, d in enumerate(DELIMITERS):
+        issues = issues + F.when(whole_cells(value, d), 0).otherwise(2 << i)
+    # Most lines of a long file say nothing and end here. The set holds 16 numbers at most; it also
+    # makes this a hash aggregate, where the first line as text alone would cost a sort of the lines.
+    telling = lines.withColumn("_issues", issues).filter("block = 0 OR _issues <> 0")
+    found = telling.groupBy(SOURCE_FILE).agg(
+        _first_line(value.cast("binary")).alias("head"), F.collect_set("_issues").alias("_issues")
+    )
+
+    def free_of(bit: int) -> Column:
+        return ~F.exists("_issues", lambda x: x.bitwiseAND(F.lit(bit)) != 0)
+
+    found = found.select(
+        SOURCE_FILE,
+        "head",
+        free_of(1).alias("valid"),
+        *[free_of(2 << i).alias(f"whole{i}") for i in range(len(DELIMITERS))],
     )
     marks = F.lower(F.hex(F.substring("head", 1, 4)))
     encoding = F.lit(None).cast("string")
@@ -95,7 +110,7 @@ def profile_files(spark: SparkSession, paths: Sequence[str], skip_unreadable: bo
         files = [r[0] for r in found.filter(F.col("encoding") == name).select(SOURCE_FILE).collect()]
         if files:
             part = text_lines(spark, [escape_glob(f) for f in files], encoding=charset, lineSep="\n")
-            part = part.groupBy(SOURCE_FILE).agg(
+            part = part.filter("block = 0").groupBy(SOURCE_FILE).agg(
                 F.decode(_first_line(F.col("value").cast("binary")), name[:6].upper()).alias("wide_line")
             )
             wide = part if wide is None else wide.unionByName(part)
