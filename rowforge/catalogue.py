@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import is_blank, strip
 from .labels import (
     OTHERS_LABEL,
     PIVOT_COLUMN_HEADER,
@@ -23,6 +24,7 @@ from .operators import (
     count_values,
     destinations,
     distinct_values,
+    drop_blank_rows,
     export_count,
     export_metrics,
     filter_in,
@@ -137,6 +139,37 @@ def prj_pad(spark: SparkSession, sf: str) -> DataFrame:
     return select_columns(_orders_with_gaps(spark, sf), ["priority", "o_orderkey"])
 
 
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def prj_nothing_known(spark: SparkSession, sf: str) -> DataFrame:
+    return select_columns(read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["a", "b"])
+
+
+@query(f"SELECT {_PRIORITY} AS priority FROM orders WHERE {_PRIORITY} IS NOT NULL")
+def flt_blank_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_blank_rows(_orders_with_gaps(spark, sf).select("priority"))
+
+
+_SPACES = "'\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}'"
+
+
+@query(
+    f"SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN regexp_full_match(text, '[' || {_SPACES} || ']*') "
+    f"THEN 1 ELSE 0 END) AS BIGINT) AS n_blank, CAST(sum(length(regexp_replace(text, '^[' || {_SPACES} || "
+    f"']+|[' || {_SPACES} || ']+$', '', 'g'))) AS BIGINT) AS n_chars FROM documents GROUP BY lang"
+)
+def flt_blank_test(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return (
+        read_table(spark, sf, "documents")
+        .groupBy("lang")
+        .agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            F.count_if(is_blank(text)).alias("n_blank"),
+            F.sum(F.length(strip(text))).alias("n_chars"),
+        )
+    )
+
+
 # ---------------------------------------------------------------- duplicates
 
 _DEDUP = ExportSpec(selected_columns=("l_returnflag", "l_quantity", "l_discount"))
@@ -216,6 +249,24 @@ def rt_csv_sheet_split_makes_files(spark: SparkSession, sf: str) -> DataFrame:
     return shape(orders, spec).select("o_orderkey", "dest_file")
 
 
+@query("SELECT o_orderkey, o_orderstatus AS dest_file, '' AS dest_sheet FROM orders")
+def rt_missing_column(spark: SparkSession, sf: str) -> DataFrame:
+    spec = ExportSpec(file_split_column="o_orderstatus", sheet_split_column="unknown", filter_column="unknown")
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return shape(orders, spec).select("o_orderkey", "dest_file", "dest_sheet")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 30) THEN "
+    f"CAST(l_partkey AS VARCHAR) ELSE '{OTHERS_LABEL}' END AS dest_file FROM lineitem"
+)
+def rt_many_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """A chosen set too long for a literal list is a table of its own."""
+    parts = read_table(spark, sf, "part").filter("p_size <= 30").select(F.col("p_partkey").cast("string"))
+    lineitem = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return route(lineitem, "l_partkey", parts).select("l_orderkey", "l_linenumber", "dest_file")
+
+
 # ---------------------------------------------------------------- inspection
 
 _FORECAST = ExportSpec(
@@ -486,6 +537,57 @@ def pv_text_coercion(spark: SparkSession, sf: str) -> DataFrame:
     return pivot_long(events.select("event_type", "cell"), PivotSpec(("event_type",), (), values))
 
 
+_NAN_TAX = "CASE WHEN l_tax = 0 THEN 'nan' WHEN l_tax > 0.07 THEN 'inf' ELSE CAST(l_tax AS {}) END"
+
+
+@query(
+    _long(
+        "l_returnflag",
+        "l_linestatus",
+        f"(SELECT *, CAST({_NAN_TAX.format('VARCHAR')} AS DOUBLE) AS x FROM lineitem)",
+        {
+            "cell_max": "max(x) FILTER (NOT isnan(x))",
+            "cell_min": "min(x) FILTER (NOT isnan(x))",
+            "cell_sum": "sum(x)",
+            "cell_count": "count(*)",
+        },
+    )
+)
+def pv_nan(spark: SparkSession, sf: str) -> DataFrame:
+    """NaN takes over sums, never a maximum or minimum."""
+    lineitem = read_table(spark, sf, "lineitem")
+    cells = lineitem.select("l_returnflag", "l_linestatus", F.expr(_NAN_TAX.format("STRING")).alias("cell"))
+    values = tuple(("cell", a) for a in ("max", "min", "sum", "count"))
+    return pivot_long(cells, PivotSpec(("l_returnflag",), ("l_linestatus",), values))
+
+
+@query(
+    _long(
+        f"{_PRIORITY} AS priority",
+        f"'{TOTAL_LABEL}'",
+        f"orders WHERE {_PRIORITY} IS NOT NULL",
+        {"priority_count": "count(*)", "unknown_sum": "0"},
+    )
+)
+def pv_absent_key(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a key cell belong to no group; an unknown value column gives 0."""
+    spec = PivotSpec(("priority",), (), (("priority", "count"), ("unknown", "sum")))
+    return pivot_long(_orders_with_gaps(spark, sf), spec)
+
+
+@query(
+    _long(
+        "o_orderstatus",
+        f"'{TOTAL_LABEL}'",
+        f"orders WHERE {_PRIORITY} = '2-HIGH' OR {_PRIORITY} IS NULL",
+        {"o_custkey_sum": "sum(o_custkey)"},
+    )
+)
+def pv_filter_keeps_short(spark: SparkSession, sf: str) -> DataFrame:
+    orders = read_table(spark, sf, "orders").withColumn("priority", F.expr(_PRIORITY))
+    return pivot_long(orders, PivotSpec(("o_orderstatus",), (), (("o_custkey", "sum"),)), "priority", ["2-HIGH"])
+
+
 @query(
     "SELECT l_returnflag AS row_key, i AS idx, CASE i WHEN 0 THEN sum(l_quantity) FILTER (WHERE l_linestatus = 'F') "
     "WHEN 1 THEN CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS DOUBLE) WHEN 2 THEN sum(l_quantity) FILTER "

@@ -16,14 +16,15 @@ from .filters import LITERAL_VALUES, value_table
 def route(
     df: DataFrame,
     column: str,
-    selected: Iterable[str] = (),
+    selected: Iterable[str] | DataFrame = (),
     out: str = "dest_file",
     others_label: str = OTHERS_LABEL,
     drop: bool = True,
 ) -> DataFrame:
     """Add the destination of each row; rows with a blank or absent value have none and are dropped.
 
-    With ``drop=False`` they stay, with a NULL destination.
+    With ``drop=False`` they stay, with a NULL destination. ``selected`` may be a one-column
+    DataFrame for sets too big for the driver.
 
     With a chosen set, values outside it share the others label. A data value equal to that label
     falls into the same destination. Values are not trimmed.
@@ -33,10 +34,17 @@ def route(
     filled = ~is_blank(col(field.name), field.dataType)
     if drop:
         df = df.filter(filled)
-    chosen = list(dict.fromkeys(selected or ()))
+    table = None
+    if isinstance(selected, DataFrame):
+        chosen = []
+        table = None if selected.isEmpty() else selected.toDF("_chosen").distinct()
+    else:
+        chosen = list(dict.fromkeys(selected or ()))
+        if len(chosen) > LITERAL_VALUES:
+            table = value_table(df.sparkSession, chosen, "_chosen")
     value = cell
-    if len(chosen) > LITERAL_VALUES:
-        df = df.join(value_table(df.sparkSession, chosen, "_chosen"), cell == F.col("_chosen"), "left")
+    if table is not None:
+        df = df.join(table, cell == F.col("_chosen"), "left")
         value = F.coalesce(F.col("_chosen"), F.lit(others_label))
     elif chosen:
         value = F.when(cell.isin(*chosen), cell).otherwise(F.lit(others_label))
