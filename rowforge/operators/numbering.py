@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ROW_ID, col
-from ..runtime import materialize
+from ..runtime import materialize, pin_splits
 
 SLICE_BITS = 33
 
@@ -26,11 +26,15 @@ def slice_of(row_id: str = ROW_ID) -> Column:
 def with_row_id(df: DataFrame, order_by: Sequence[Column | str] = (), name: str = ROW_ID) -> DataFrame:
     """Add row ids in scan order, or in the order of ``order_by``.
 
-    Scan order costs nothing. An explicit order is one global sort, stored so that every later
+    Scan order costs nothing; it needs a scan with at most filters and projections on it, which give
+    the same ids whenever they run. An explicit order is one global sort, stored so that every later
     branch sees the same ids.
     """
     if not order_by:
-        return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
+        if name in df.columns:
+            return df
+        pin_splits(df.sparkSession)
+        return df.withColumn(name, F.monotonically_increasing_id())
     return materialize(df.orderBy(*order_by).withColumn(name, F.monotonically_increasing_id()), "ordered")
 
 

@@ -101,8 +101,14 @@ def _sheet_rows(
     header = F.array(*[F.lit(label(f)) for f in fields])
     out = plan.select(*where, top, text, header.alias("cells"))
 
-    keys = [SOURCE_FILE, DEST_FILE, DEST_SHEET, "sheet_part"]
-    placed = place_rows(rows, cap).join(plan.select(*keys, *where), keys)
+    keys = [SOURCE_FILE, DEST_FILE, DEST_SHEET]
+    if plan.filter("sheet_part > 1").isEmpty():
+        # No sheet is full: the row ids put the rows in order, and the writer counts them.
+        placed = rows.withColumn("sheet_row", col(ROW_ID) + 2)
+    else:
+        keys.append("sheet_part")
+        placed = place_rows(materialize(rows, "rows"), cap)
+    placed = placed.join(plan.select(*keys, *where), keys)
     out = out.unionByName(placed.select(*where, "sheet_row", text, cells.alias("cells")))
     if spec.pivot:
         out = out.unionByName(_pivot_sheets(source, plan, spec, bases, cap))

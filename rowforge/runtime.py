@@ -24,6 +24,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Keep the split of files into scan tasks the same in all jobs of a session.
+
+    Spark sizes the splits of small inputs by the cores at hand, which dynamic allocation changes.
+    Row ids in scan order rest on the splits, so their number of cores is fixed at first use.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Write a frame to shared scratch storage and read it back.
 

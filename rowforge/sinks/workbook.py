@@ -1,7 +1,7 @@
 """Workbook output as a Spark data source: every task streams the workbooks of its partition.
 
 Input rows: ``file_name, sheet_no, sheet_name, sheet_row, text_cells, cells``, with all rows of a
-workbook in one partition, sorted by file, sheet and row. Cells are text; those past ``text_cells``
+workbook in one partition, sorted by file, sheet and row; the row numbers only give the order. Cells are text; those past ``text_cells``
 are numbers.
 """
 
@@ -52,6 +52,7 @@ class Workbook:
         self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
         self.names: list[str] = []
         self.sheet = None
+        self.rows = 0
 
     def _entry(self, name: str) -> zipfile.ZipInfo:
         # A fixed date keeps repeated runs byte for byte equal.
@@ -62,12 +63,14 @@ class Workbook:
     def start_sheet(self, name: str) -> None:
         self._end_sheet()
         self.names.append(name)
+        self.rows = 0
         entry = self._entry(f"xl/worksheets/sheet{len(self.names)}.xml")
         self.sheet = self.zip.open(entry, "w", force_zip64=True)
         self.sheet.write(f'{DECLARATION}<worksheet xmlns="{MAIN}"><sheetData>'.encode())
 
-    def write(self, xml: str) -> None:
-        self.sheet.write(xml.encode("utf-8"))
+    def write_row(self, cells: str) -> None:
+        self.rows += 1
+        self.sheet.write(f'<row r="{self.rows}">{cells}</row>'.encode("utf-8"))
 
     def _end_sheet(self) -> None:
         if self.sheet is not None:
@@ -129,8 +132,7 @@ class WorkbookWriter(DataSourceArrowWriter):
         moves, book, stream, place = [], None, None, (None, None)
         try:
             for batch in iterator:
-                columns = [batch.column(i) for i in range(5)]
-                files, sheets, names, rows, texts = (c.to_pylist() for c in columns)
+                files, sheets, names, texts = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
                 for i, cells in enumerate(batch.column(5).to_pylist()):
                     if files[i] != place[0]:
                         if book:
@@ -145,8 +147,7 @@ class WorkbookWriter(DataSourceArrowWriter):
                         book.start_sheet(names[i])
                         place = (files[i], sheets[i])
                     text_cells = len(cells) if texts[i] is None else texts[i]
-                    xml = "".join(cell_xml(c, k >= text_cells) for k, c in enumerate(cells))
-                    book.write(f'<row r="{rows[i]}">{xml}</row>')
+                    book.write_row("".join(cell_xml(c, k >= text_cells) for k, c in enumerate(cells)))
             if book:
                 book.close()
                 stream.close()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..columns import ROW_ID, SOURCE_FILE, unique_physical_names
 from ..operators.numbering import SLICE_BITS
+from ..runtime import pin_splits
 from .profile import (
     FALLBACK_ENCODING,
     WIDE_ENCODINGS,
@@ -76,6 +77,7 @@ def read_dialect(
 
     ``splittable`` promises that no quoted cell holds a line end.
     """
+    pin_splits(spark)
     width = len(headers)
     schema = ", ".join([*(f"_c{i} string" for i in range(width)), f"{_RAW} string"])
     options = {
