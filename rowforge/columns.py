@@ -20,6 +20,8 @@ ROW_ID = "row_id"
 DEST_FILE = "dest_file"
 DEST_SHEET = "dest_sheet"
 ENGINE_COLUMNS = (SOURCE_FILE, ROW_ID, DEST_FILE, DEST_SHEET, "sheet_part", "sheet_row")
+# Columns an export joins to the rows.
+OUTPUT_COLUMNS = ("file_name", "sheet_no", "sheet_name")
 
 
 def col(name: str) -> Column:
@@ -40,6 +42,19 @@ def headers(df: DataFrame) -> list[str]:
     return [label(f) for f in data_fields(df)]
 
 
+def without_output_names(df: DataFrame) -> DataFrame:
+    """Data columns named like those an export joins get another physical name and keep their label."""
+    if not any(c.lower() in OUTPUT_COLUMNS for c in df.columns):
+        return df
+    fields = df.schema.fields
+    return df.select(
+        *[
+            col(f.name).alias(f"{f.name}#", metadata={"label": label(f)}) if f.name.lower() in OUTPUT_COLUMNS else col(f.name)
+            for f in fields
+        ]
+    )
+
+
 def find(df: DataFrame, name: str) -> T.StructField | None:
     """First data column with this label."""
     return next((f for f in data_fields(df) if label(f) == name), None)
@@ -61,7 +76,7 @@ def missing(what: str, strict: bool) -> None:
 
 def unique_physical_names(labels: Iterable[str]) -> list[str]:
     """Physical names for header labels: unique without regard to case, first match keeps its label."""
-    taken = {name.lower() for name in ENGINE_COLUMNS}
+    taken = {*ENGINE_COLUMNS, *OUTPUT_COLUMNS}
     names = []
     for i, text in enumerate(labels):
         name = text if text and text.lower() not in taken else f"{text or '_c'}#{i}"

@@ -12,13 +12,13 @@ from ..functions import pad_absent
 
 
 def resolve_selection(df: DataFrame, selected: Sequence[str], strict: bool = False) -> list[T.StructField]:
-    """Output fields of a selection: in the given order, first match per name, unknown names skipped.
+    """Output fields of a selection: in the given order, each once, first match, unknown names skipped.
 
     An empty selection, or one with no known name, keeps all columns.
     """
     if not selected:
         return data_fields(df)
-    found = [(name, find(df, name)) for name in selected]
+    found = [(name, find(df, name)) for name in dict.fromkeys(selected)]
     unknown = [name for name, field in found if field is None]
     if unknown:
         missing(f"selected columns not found: {', '.join(map(repr, unknown))}", strict)

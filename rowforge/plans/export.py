@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, headers, label, unique_physical_names
+from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, headers, label, unique_physical_names, without_output_names
 from ..functions import as_text, float_text, pad_absent
 from ..labels import PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER
 from ..operators.filters import filter_in
@@ -44,6 +44,7 @@ def export(
     file; without it the names follow from the sources at hand. With ``mode="overwrite"`` CSV and
     parquet outputs replace what ``path`` holds; workbooks replace those of the same name.
     """
+    df = without_output_names(df)
     labels = headers(df)
     spec = spec.normalise(labels)
     typed = SOURCE_FILE not in df.columns

@@ -31,14 +31,11 @@ def csv_options(width: int, crlf: bool = False) -> dict[str, str]:
     }
 
 
-def data_columns(df: DataFrame) -> DataFrame:
-    """Data columns under their header text; a repeated text keeps its physical name, as names must differ."""
+def output_names(df: DataFrame) -> dict[str, str]:
+    """Header text per data column. A repeated text keeps its physical name, as names must differ."""
     fields = [f for f in df.schema.fields if f.name not in (*ENGINE_COLUMNS, FILE_NAME)]
-    seen = Counter(label(f).lower() for f in fields)
-    return df.select(
-        *[col(c) for c in df.columns if c in (FILE_NAME, ROW_ID)],
-        *[col(f.name).alias(label(f) if seen[label(f).lower()] == 1 else f.name) for f in fields],
-    )
+    seen = Counter([FILE_NAME, *(label(f).lower() for f in fields)])
+    return {f.name: label(f) if seen[label(f).lower()] == 1 else f.name for f in fields}
 
 
 def _in_order(df: DataFrame) -> DataFrame:
@@ -53,23 +50,22 @@ def _in_order(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, crlf: bool = False, mode: str = "errorifexists") -> None:
     """Write a table as CSV with a byte order mark, below ``file_name=...`` folders if it names files."""
-    named = data_columns(df)
-    data = [c for c in named.columns if c not in (FILE_NAME, ROW_ID)]
-    ordered = _in_order(named)
-    out = ordered.select(
-        *[c for c in (FILE_NAME,) if c in named.columns],
-        *[col(c).alias(BOM + c if i == 0 else c) for i, c in enumerate(data)],
+    names = output_names(df)
+    out = _in_order(df).select(
+        *[c for c in (FILE_NAME,) if c in df.columns],
+        *[col(c).alias(BOM + text if i == 0 else text) for i, (c, text) in enumerate(names.items())],
     )
-    writer = out.write.mode(mode).options(**csv_options(len(data), crlf))
-    if FILE_NAME in named.columns:
+    writer = out.write.mode(mode).options(**csv_options(len(names), crlf))
+    if FILE_NAME in df.columns:
         writer = writer.partitionBy(FILE_NAME)
     writer.csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The same outputs as parquet, for further processing at scale."""
-    named = data_columns(df)
-    writer = _in_order(named).drop(ROW_ID).write.mode(mode)
-    if FILE_NAME in named.columns:
+    names = [col(c).alias(text) for c, text in output_names(df).items()]
+    out = _in_order(df).select(*[c for c in (FILE_NAME,) if c in df.columns], *names)
+    writer = out.write.mode(mode)
+    if FILE_NAME in df.columns:
         writer = writer.partitionBy(FILE_NAME)
     writer.parquet(path)

@@ -290,3 +290,55 @@ def test_batch(spark, tmp_path):
     outputs = read_csv_outputs(out)
     assert outputs["two_2 (conver_r)_x.csv"] == [["имя"], ["ю"]]
     assert outputs["one (conver_r)_x.csv"] == [["v"], ["1"]]
+
+
+def test_odd_headers(spark, tmp_path):
+    header = ["a b,{}()=", "x.y", "`q`", "", "x.y", "X.Y", "row_id", "file_name"]
+    src = tmp_path / "odd.csv"
+    with open(src, "w", encoding="utf-8", newline="") as f:
+        csv.writer(f, delimiter=";").writerows([header, list("12345678"), list("12345679"), list("92345678")])
+    pivot = PivotSpec(("x.y",), ("`q`",), (("X.Y", "sum"), ("row_id", "max")))
+    config = {"selected": ["X.Y", "`q`", "", "x.y", "row_id", "file_name"], "files": ("a b,{}()=", [])}
+    rows = [list("12345678"), list("12345679"), list("92345678")]
+    want = [list(cells) for _, _, cells in model.export(header, rows, **config)]
+    for fmt in ("xlsx", "csv"):
+        out = str(tmp_path / fmt)
+        manifest = export_batch(spark, str(src), spec_of(**config, output_format=fmt, pivot=pivot), out, "r").collect()
+        manifest.sort(key=lambda m: m.dest_file)
+        assert [m.error for m in manifest] == [None, None]
+        if fmt == "xlsx":
+            found = [r for m in manifest for r in read_workbook(f"{out}/{m.file_name}")[m.sheet_name]]
+            assert read_workbook(f"{out}/odd (conver_r)_Сводная таблица.xlsx") == {
+                "Сводная таблица": [["x.y", "3 - X.Y (sum)", "3 - row_id (max)"], ["2", "18.0", "7.0"]]
+            }
+        else:
+            found = [r for m in manifest for r in read_csv_outputs(out)[m.file_name]]
+            # The folder column of the output has this name already.
+            found = [[cell.replace("file_name#7", "file_name") for cell in row] for row in found]
+        assert found == [config["selected"], want[0], want[1], config["selected"], want[2]]
+
+
+def test_line_ends_and_parquet(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a", "1"), (1, "b", None)], "row_id long, k string, v string")
+    write_csv(df, str(tmp_path / "c"), crlf=True)
+    (text,) = [p.read_bytes() for p in (tmp_path / "c").glob("*.csv") if p.stat().st_size]
+    assert text == "\ufeffk;v\r\na;1\r\nb;\r\n".encode()
+    out = str(tmp_path / "p")
+    spec = ExportSpec(output_format="parquet", file_split_column="k")
+    for _ in range(2):
+        export(df.drop("row_id"), spec, out, "r", order_by=["v"], mode="overwrite")
+    back = spark.read.parquet(out)
+    assert sorted((r.k, r.v, r.file_name) for r in back.collect()) == [
+        ("a", "1", "export (conver_r)_a.parquet"),
+        ("b", "", "export (conver_r)_b.parquet"),
+    ]
+
+
+def test_repeated_runs_give_equal_workbooks(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2], str(i)) for i in range(50)], "row_id long, k string, v string")
+    contents = []
+    for run in ("one", "two"):
+        out = str(tmp_path / run)
+        export(df.repartition(3 if run == "one" else 7), ExportSpec(file_split_column="k"), out, "r")
+        contents.append({n: open(f"{out}/{n}", "rb").read() for n in sorted(os.listdir(out))})
+    assert contents[0] == contents[1]
