@@ -77,16 +77,21 @@ def pivot_groups(
     for field in {f.name: f for f in (*row_fields, *column_fields)}.values():
         df = df.filter(col(field.name).isNotNull())
 
+    # Each cell is turned into a number once, below the aggregate, however many metrics use it.
+    metrics = [(value_fields[name], aggregation(agg)) for name, agg in spec.metrics]
+    numeric = {f.name: f for f, agg in metrics if f is not None and agg != "count"}
+    numbers = {name: f"_x{i}" for i, name in enumerate(numeric)}
     aggregates = []
-    for i, (name, agg) in enumerate(spec.metrics):
-        field = value_fields[name]
+    for i, (field, agg) in enumerate(metrics):
         if field is None:
             value = F.max(F.lit(0.0))
         else:
-            value = _aggregate(aggregation(agg), to_number(col(field.name), field.dataType))
+            value = _aggregate(agg, F.col(numbers[field.name]) if agg != "count" else F.lit(0.0))
         aggregates.append(value.alias(f"_m{i}"))
-    keys = [*map(col, by), *key_columns(row_fields, "_r"), *key_columns(column_fields, "_c")]
-    return df.groupBy(*keys).agg(*aggregates)
+    keys = [*key_columns(row_fields, "_r"), *key_columns(column_fields, "_c")]
+    names = [*by, *(f"_r{i}" for i in range(max(1, len(row_fields)))), *_column_keys(spec)]
+    values = [to_number(col(f.name), f.dataType).alias(numbers[f.name]) for f in numeric.values()]
+    return df.select(*map(col, by), *keys, *values).groupBy(*map(col, names)).agg(*aggregates)
 
 
 def _row_names(spec: PivotSpec) -> list[str]:
