@@ -32,10 +32,14 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     """Double value of a cell; anything that is not a number, an empty or an absent cell is 0.0."""
     if isinstance(dtype, T.NumericType):
         return F.coalesce(c.cast("double"), F.lit(0.0))
-    text = F.btrim(c if dtype is None or isinstance(dtype, T.StringType) else c.cast("string"), F.lit(_PADDING))
+    cell = c if dtype is None or isinstance(dtype, T.StringType) else c.cast("string")
+    # Digits with at most a sign and a point, the common case, need no pattern.
+    plain = F.translate(cell, "0123456789", "").isin("", ".", "-", "-.")
+    text = F.btrim(cell, F.lit(_PADDING))
     text = F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, _DIGITS, _ASCII_DIGITS)).otherwise(text)
     return (
-        F.when(text.rlike(_DECIMAL), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+        F.when(plain, F.coalesce(cell.try_cast("double"), F.lit(0.0)))
+        .when(text.rlike(_DECIMAL), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
         .when(text.rlike(_INFINITE), F.lit(float("inf")) * F.when(text.startswith("-"), -1.0).otherwise(1.0))
         .when(text.rlike(_NAN), F.lit(float("nan")))
         .otherwise(F.lit(0.0))

@@ -51,7 +51,7 @@ def evaluated(spark, values, expression):
 NUMBERS = [
     "1.5", " 2 ", "1_000", "1e3", ".5", "5.", "1.5d", "1,5", "0x10", "abc", "", "inf", "-inf", "nan", "+NaN", "iNfInItY",
     "1__0", "_1", "1_", "1e400", "١٢", "\x1c7", " 7", "1e5_0", "1_0.0_1", "1._5", "1_.5", "infinit", "１２", None,
-    "+-1", "1e", "e1", ".", "+.5e-3", "1 2", "\t3\n", "1f", "1L", "NaN1", "-0", "1_0e1_0",
+    "1-2", "-", "-.5", "5-", "1.2.3", "00012", "-7", "+-1", "1e", "e1", ".", "+.5e-3", "1 2", "\t3\n", "1f", "1L", "NaN1", "-0", "1_0e1_0",
 ]
 
 
