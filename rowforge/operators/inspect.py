@@ -13,7 +13,7 @@ from ..plans.spec import ExportSpec
 from ..runtime import materialize
 from .filters import filter_in
 from .numbering import number_rows, position_rows, running, slice_of, with_row_id
-from .shape import shape, with_source
+from .shape import shape
 
 # Pages up to this row come from a top-k; deeper ones from distributed positions.
 SHALLOW_ROWS = 100_000

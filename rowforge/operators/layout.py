@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..columns import DEST_FILE, DEST_SHEET, ROW_ID, SOURCE_FILE
 from ..labels import SHEET_LABEL
-from ..runtime import materialize
 from .naming import clean_file_stem, clean_sheet_name, unique_file_stems, unique_sheet_names
 from .numbering import number_rows, running, with_row_id
 from .shape import DESTINATION

@@ -6,8 +6,6 @@ from collections import defaultdict
 from xml.etree import ElementTree
 
 import pytest
-from pyspark.sql import functions as F
-
 import model
 from rowforge.columns import ROW_ID, SOURCE_FILE
 from rowforge.operators import forecast, shape
