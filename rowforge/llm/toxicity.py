@@ -218,14 +218,16 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, keep_text: bo
     replaced; an empty table stays empty.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
-    slim = docs.select(*[column(docs, c) for c in names], column(docs, "text").alias("_text"))
+    extra = [] if keep_text else [column(docs, "text").alias("_text")]
+    slim = docs.select(*[column(docs, c) for c in names], *extra)
+    at = names.index("text") if keep_text else len(names)
     added = [StructField("score", DoubleType(), False), StructField("predicted", IntegerType(), False)]
-    schema = StructType([*slim.schema.fields[:-1], *added])
+    schema = StructType([*slim.schema.fields[: len(names)], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(machine.terms)
         for batch in batches:
-            scores = machine.scores([known.of(t.as_py()) for t in batch.column(len(names))])
+            scores = machine.scores([known.of(t.as_py()) for t in batch.column(at)])
             kept = [batch.column(i) for i in range(len(names))]
             flags = pa.array((scores >= THRESHOLD).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), flags], names=[f.name for f in schema.fields])
@@ -236,9 +238,8 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, keep_text: bo
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic, by a model fit on all labels. Columns stay as they are."""
     machine = learn_toxicity(docs, labels)
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*names).withColumn("text", docs["text"])
-    kept = score_toxicity(renamed, machine).filter("predicted = 0")
+    names = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    kept = score_toxicity(docs.toDF(*names), machine, keep_text=True).filter("predicted = 0")
     return kept.select(*names).toDF(*docs.columns)
 
 
