@@ -36,13 +36,12 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
 
 
-def _lines(docs: DataFrame, whole: bool = True) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """``_id, _doc, _no, _line`` with the line's hashes ``h1, h2``; null texts have no lines."""
     doc = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_doc")
     split = F.posexplode(F.split("text", "\n")).alias("_no", "_line")
     lines = docs.select(docs["doc_id"].alias("_id"), doc, split)
-    hashed = lines.withColumns({"h1": F.xxhash64("_line"), "h2": F.hash("_line")})
-    return hashed if whole else hashed.drop("_line")
+    return lines.withColumns({"h1": F.xxhash64("_line"), "h2": F.hash("_line")})
 
 
 def _place() -> Column:
@@ -66,35 +65,35 @@ def _with_tokens(lines: DataFrame, classes: list[int]) -> DataFrame:
     table = F.split(F.lit(",".join(str(c << 56) for c in classes)), ",").cast("array<bigint>")
     hashes = F.transform(F.array_remove(F.split(F.lower("_line"), _SPACE), ""), lambda w: F.xxhash64(w))
     packed = F.transform(
-        hashes,
+        F.array_distinct(hashes),
         lambda h: F.element_at(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int") + 1).bitwiseOR(
             F.shiftrightunsigned(h, 8)
         ),
     )
-    return lines.withColumn("tokens", F.array_sort(F.array_distinct(packed)))
+    return lines.withColumn("tokens", F.sort_array(packed))
 
 
-def _distinct_lines(docs: DataFrame, classes: list[int]) -> DataFrame:
-    """One row per different line that has a word: its set's key, size, bitmap and prefix, its first place."""
+def _line_rows(docs: DataFrame, classes: list[int]) -> DataFrame:
+    """One row per line that has a word: its place, hash, and its set's key, size, bitmap and prefix.
+
+    A prefix only brings lines together, so its words are kept as 32-bit hashes: words that collide add
+    candidates, nothing else.
+    """
     lines = _with_tokens(_lines(docs), classes).filter("size(tokens) > 0")
     size = F.size("tokens")
-    bitmap = F.aggregate(
-        "tokens",
-        F.lit(0).cast("long"),
-        lambda seen, t: seen.bitwiseXOR(_bit(t.bitwiseAND(F.lit(63)))),
-    )
+    zero = F.lit(0).cast("long")
+    bitmap = F.aggregate("tokens", zero, lambda seen, t: seen.bitwiseXOR(_bit(t.bitwiseAND(F.lit(63)))))
     prefix = F.slice("tokens", F.lit(1), size - F.ceil(size * 4 / F.lit(5)).cast("int") + 1)
-    narrow = lines.select(
+    return lines.select(
+        "_id",
+        "_doc",
+        "_no",
         "h1",
-        "h2",
         F.xxhash64("tokens").alias("key"),
         size.alias("size"),
         bitmap.alias("bitmap"),
-        prefix.alias("prefix"),
-        _place().alias("place"),
+        F.transform(prefix, lambda t: F.hash(t)).alias("prefix"),
     )
-    firsts = [F.first(c).alias(c) for c in ("key", "size", "bitmap", "prefix")]
-    return narrow.groupBy("h1", "h2").agg(*firsts, F.min("place").alias("place"))
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -125,15 +124,16 @@ def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def line_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct lines, and the links ``(a, b)`` between keys of different sets, both stored."""
+    """The lines, and the links ``(a, b)`` between keys of different sets, both stored."""
     docs = docs.select("doc_id", "text")
     classes = _frequency_classes(docs)
-    lines = materialize(_distinct_lines(docs, classes), "lines")
+    lines = materialize(_line_rows(docs, classes), "lines")
     sets = lines.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "bitmap", "prefix")])
     pairs = materialize(_candidates(sets), "line-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = materialize(lines.select("h1", "h2", "key").join(asked, "key"), "lines-asked")
-    fetched = _picked(docs, named).join(named.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    named = lines.select("key", "h1").join(asked, "key", "left_semi").groupBy("key").agg(F.min("h1").alias("h1"))
+    named = materialize(named.select("h1").distinct(), "lines-asked")
+    fetched = _picked(docs, named).join(named, "h1", "left_semi")
     one = fetched.groupBy("h1", "h2").agg(F.first("_line").alias("_line"))
     tokens = _with_tokens(one, classes).select(F.xxhash64("tokens").alias("key"), "tokens")
     tokens = materialize(tokens.groupBy("key").agg(F.first("tokens").alias("tokens")), "line-tokens")
@@ -154,15 +154,14 @@ def judge_lines(docs: DataFrame) -> DataFrame:
     verdicts and do not remove each other's lines.
     """
     lines, links = line_matches(docs)
-    first = materialize(lines.groupBy("key").agg(F.min("place").alias("first")), "line-firsts")
+    first = materialize(lines.groupBy("key").agg(F.min(_place()).alias("first")), "line-firsts")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.join(first.withColumnRenamed("key", "b"), "b")
     near = materialize(near.groupBy("a").agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("n_links")), "near")
     verdict = first.join(near.withColumnRenamed("a", "key"), "key", "left")
     verdict = verdict.select("key", F.least("first", F.coalesce("near", "first")).alias("earliest"), "n_links")
-    by_line = materialize(lines.select("h1", "h2", "key").join(verdict, "key").drop("key"), "line-verdicts")
-    own = _lines(docs.select("doc_id", "text"), whole=False)
-    return own.join(by_line, ["h1", "h2"]).select(
+    own = lines.select("_id", "_doc", "_no", "key").join(verdict, "key")
+    return own.select(
         "_id",
         "_doc",
         "_no",
