@@ -8,6 +8,7 @@ columns up by that label: exact, case-sensitive, first match.
 from __future__ import annotations
 
 import warnings
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,14 +43,28 @@ def headers(df: DataFrame) -> list[str]:
     return [label(f) for f in data_fields(df)]
 
 
+def numbered_labels(labels: Iterable[str]) -> list[tuple[str, int]]:
+    """Each label with its number among equal ones."""
+    seen: Counter = Counter()
+    out = []
+    for text in labels:
+        out.append((text, seen[text]))
+        seen[text] += 1
+    return out
+
+
 def without_output_names(df: DataFrame) -> DataFrame:
-    """Data columns named like those an export joins get another physical name and keep their label."""
-    if not any(c.lower() in OUTPUT_COLUMNS for c in df.columns):
+    """Data columns named like those the engine adds get another physical name and keep their label.
+
+    A table without ``source_file`` was not read by the engine, so all of its columns are data.
+    """
+    taken = {*OUTPUT_COLUMNS, *(() if SOURCE_FILE in df.columns else ENGINE_COLUMNS)}
+    if not any(c.lower() in taken for c in df.columns):
         return df
     fields = df.schema.fields
     return df.select(
         *[
-            col(f.name).alias(f"{f.name}#", metadata={"label": label(f)}) if f.name.lower() in OUTPUT_COLUMNS else col(f.name)
+            col(f.name).alias(f"{f.name}#", metadata={"label": label(f)}) if f.name.lower() in taken else col(f.name)
             for f in fields
         ]
     )

@@ -40,4 +40,6 @@ def contains_ci(c: Column, needle: str) -> Column:
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
     """The text of a typed cell. Strings pass through, which keeps predicate pushdown intact."""
-    return c if isinstance(dtype, T.StringType) else c.cast("string")
+    if isinstance(dtype, T.StringType):
+        return c
+    return F.to_json(c) if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")

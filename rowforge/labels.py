@@ -1,4 +1,4 @@
-"""Labels, aggregation names and page sizes that results must use as they are."""
+"""Labels and aggregation names that results must use as they are."""
 
 OTHERS_LABEL = "Остальные"
 TOTAL_LABEL = "Итого"
@@ -14,4 +14,3 @@ AGGREGATIONS = {
     "Максимум": "max",
     "Минимум": "min",
 }
-PAGE_SIZES = (50, 100, 200, 500, 1000)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..columns import col, data_fields, find, missing
 from ..functions import as_text, is_blank
@@ -23,6 +25,22 @@ def value_table(spark: SparkSession, values: list[str], name: str, with_null: bo
     return F.broadcast(table) if sum(map(len, values)) <= BROADCAST_CHARS else table
 
 
+def is_one_of(field: T.StructField, values: list[str]) -> Column:
+    """Whether a cell's text is one of ``values``.
+
+    For whole numbers the values that are the text of a number become numbers and the others are left
+    out, so that the test reaches the scan as it does for strings.
+    """
+    cell, kind = col(field.name), field.dataType
+    if not isinstance(kind, T.IntegralType):
+        return as_text(cell, kind).isin(*values)
+    bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(kind.simpleString(), 63)
+    numbers = [int(v) for v in values if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v)]
+    numbers = [n for n in numbers if -(1 << bits) <= n < 1 << bits]
+    none = F.when(cell.isNotNull(), F.lit(False))
+    return cell.isin(*[F.lit(n).cast(kind) for n in numbers]) if numbers else none
+
+
 def filter_in(
     df: DataFrame,
     column: str | None,
@@ -59,21 +77,23 @@ def filter_in(
     if not listed:
         return df
     if len(listed) <= LITERAL_VALUES:
-        test = cell.isin(*listed)
+        test = is_one_of(field, listed)
         return df.filter(test | cell.isNull() if keep_short else test)
     return _semi(df, cell, value_table(df.sparkSession, listed, "_wanted", keep_short), keep_short)
 
 
-def mark_in(df: DataFrame, column: str | None, values: Iterable[str] | None, out: str) -> DataFrame:
+def mark_in(df: DataFrame, column: str | None, values: Iterable[str] | DataFrame | None, out: str) -> DataFrame:
     """Flag the rows the export filter keeps, for counting kept and dropped rows in one pass."""
     field = find(df, column) if column else None
-    listed = list(dict.fromkeys(values or ()))
-    if field is None or not listed:
+    table = isinstance(values, DataFrame)
+    listed = [] if table else list(dict.fromkeys(values or ()))
+    if field is None or (values.isEmpty() if table else not listed):
         return df.withColumn(out, F.lit(True))
     cell = as_text(col(field.name), field.dataType)
-    if len(listed) <= LITERAL_VALUES:
-        return df.withColumn(out, F.coalesce(cell.isin(*listed), F.lit(False)))
-    joined = df.join(value_table(df.sparkSession, listed, "_wanted"), cell == F.col("_wanted"), "left")
+    if not table and len(listed) <= LITERAL_VALUES:
+        return df.withColumn(out, F.coalesce(is_one_of(field, listed), F.lit(False)))
+    wanted = values.toDF("_wanted").distinct() if table else value_table(df.sparkSession, listed, "_wanted")
+    joined = df.join(wanted, cell == F.col("_wanted"), "left")
     return joined.withColumn(out, F.col("_wanted").isNotNull()).drop("_wanted")
 
 

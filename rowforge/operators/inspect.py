@@ -68,6 +68,7 @@ def forecast(df: DataFrame, spec: ExportSpec) -> DataFrame:
 
 def rank_forecast(counts: DataFrame) -> DataFrame:
     """Add file totals and 1-based ranks: files by total, sheets by rows, ties by name."""
+    counts = materialize(counts, "counts")  # small; its total must not read the input again
     totals = counts.groupBy(DEST_FILE).agg(F.sum("n_rows").alias("file_total"))
     joined = counts.join(totals, DEST_FILE)
     order = [F.desc("file_total"), F.asc(DEST_FILE), F.desc("n_rows"), F.asc(DEST_SHEET)]

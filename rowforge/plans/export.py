@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, headers, label, unique_physical_names, without_output_names
+from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, find, headers, label, unique_physical_names, without_output_names
 from ..functions import as_text, float_text, pad_absent
 from ..labels import PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER
 from ..operators.filters import filter_in
@@ -46,6 +46,7 @@ def export(
     """
     df = without_output_names(df)
     labels = headers(df)
+    order_by = [col(find(df, c).name) if isinstance(c, str) and find(df, c) else c for c in order_by]
     spec = spec.normalise(labels)
     typed = SOURCE_FILE not in df.columns
     source = with_source(df)

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 
 from ..columns import ENGINE_COLUMNS, ROW_ID, col, label
+from ..functions import as_text
 
 FILE_NAME = "file_name"
 BOM = "\ufeff"
@@ -51,9 +52,11 @@ def _in_order(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, crlf: bool = False, mode: str = "errorifexists") -> None:
     """Write a table as CSV with a byte order mark, below ``file_name=...`` folders if it names files."""
     names = output_names(df)
+    # Cells are the text that filters, routes and workbooks use, whatever their type.
+    cells = [as_text(col(c), df.schema[c].dataType) for c in names]
+    titles = [BOM + text if i == 0 else text for i, text in enumerate(names.values())]
     out = _in_order(df).select(
-        *[c for c in (FILE_NAME,) if c in df.columns],
-        *[col(c).alias(BOM + text if i == 0 else text) for i, (c, text) in enumerate(names.items())],
+        *[c for c in (FILE_NAME,) if c in df.columns], *[c.alias(t) for c, t in zip(cells, titles, strict=True)]
     )
     writer = out.write.mode(mode).options(**csv_options(len(names), crlf))
     if FILE_NAME in df.columns:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import ROW_ID, SOURCE_FILE, unique_physical_names
+from ..columns import ROW_ID, SOURCE_FILE, col, numbered_labels, unique_physical_names
 from ..operators.numbering import SLICE_BITS
 from ..runtime import pin_splits
 from .profile import (
@@ -70,12 +70,13 @@ def read_dialect(
     delimiter: str,
     headers: Sequence[str],
     splittable: bool,
-    keep_blank_rows: bool = False,
+    keep_blank_rows: bool = True,
     mark_ragged: bool = False,
 ) -> DataFrame:
     """Files of a known dialect and header, without a profile pass over them.
 
-    ``splittable`` promises that no quoted cell holds a line end.
+    ``splittable`` promises that no quoted cell holds a line end; such files are read line by line, so that
+    empty lines (rows of absent cells, unless ``keep_blank_rows`` is off) and rows of empty cells stay.
     """
     pin_splits(spark)
     width = len(headers)
@@ -90,11 +91,13 @@ def read_dialect(
     }
     fallback = encoding == FALLBACK_ENCODING
     paths = [escape_glob(f) for f in files]
-    if keep_blank_rows and splittable:
+    if splittable:
         lines = text_lines(spark, paths)
         text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if fallback else F.col("value")
         first = lines.filter("block = 0").groupBy(SOURCE_FILE).agg(F.min("seq").alias("_first"))
         body = lines.join(first, SOURCE_FILE).filter(F.col("seq") != F.col("_first"))
+        if not keep_blank_rows:
+            body = body.filter(F.col("value") != "")
         record = F.from_csv(text, F.lit(schema), options)
         rows = body.select(SOURCE_FILE, "block", "seq", (F.col("value") == "").alias("_blank"), record.alias("_r"))
         raw = F.when(F.col("_blank"), F.lit("")).otherwise(F.col(f"_r.{_RAW}"))
@@ -107,7 +110,7 @@ def read_dialect(
         options |= {
             "header": "true",
             "enforceSchema": "true",
-            "multiLine": str(not splittable).lower(),
+            "multiLine": "true",
             "encoding": "ISO-8859-1" if fallback else ("UTF-32" if charset.startswith("UTF-32") else charset),
         }
         rows = spark.read.schema(schema).options(**options).csv(paths).select(
@@ -132,15 +135,15 @@ def read_dialect(
 def read_batch(
     spark: SparkSession,
     paths: str | Sequence[str],
-    keep_blank_rows: bool = False,
+    keep_blank_rows: bool = True,
     skip_unreadable: bool = False,
     profile: DataFrame | None = None,
     mark_ragged: bool = False,
 ) -> list[TextTable]:
     """The tables of a batch, one per dialect and header.
 
-    Blank lines are dropped unless ``keep_blank_rows`` (then they are rows of absent cells, in files
-    that can be split). Files without quoted line ends are split among tasks; only the others, and
+    Empty lines are rows of absent cells unless ``keep_blank_rows`` is off; in files that cannot be split
+    they are lost. Files without quoted line ends are split among tasks; only the others, and
     two- and four-byte encodings, are read whole per task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -166,8 +169,9 @@ def read_batch(
             headers = _first_record(spark, g.files[0], g.encoding, g.delimiter)
             if not headers:
                 continue
-        df = read_dialect(spark, g.files, g.encoding, g.delimiter, headers, g.splittable, keep_blank_rows, mark_ragged)
-        tables.append(TextTable(df, tuple(headers), tuple(g.files), g.encoding, g.delimiter, g.splittable))
+        by_line = g.splittable and g["_alone"] is None
+        df = read_dialect(spark, g.files, g.encoding, g.delimiter, headers, by_line, keep_blank_rows, mark_ragged)
+        tables.append(TextTable(df, tuple(headers), tuple(g.files), g.encoding, g.delimiter, by_line))
     return tables
 
 
@@ -185,14 +189,25 @@ def _first_record(spark: SparkSession, file: str, encoding: str, delimiter: str)
 
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], **options: bool) -> DataFrame:
-    """A batch as one table: columns matched by name, a column a file lacks is absent in its rows."""
+    """A batch as one table: columns matched by exact header text, a column a file lacks is absent in its rows."""
     tables = read_batch(spark, paths, **options)
     if not tables:
         raise ValueError("no readable file")
-    df = tables[0].df
-    for table in tables[1:]:
-        df = df.unionByName(table.df, allowMissingColumns=True)
-    return df
+    # A column is its header text and which of equal texts it is; names that differ in case stay apart.
+    labelled = [numbered_labels(table.headers) for table in tables]
+    labels = list(dict.fromkeys(x for own in labelled for x in own))
+    names = dict(zip(labels, unique_physical_names([text for text, _ in labels]), strict=True))
+    union = None
+    for table, own in zip(tables, labelled, strict=True):
+        engine = [c for c in table.df.columns if c in (SOURCE_FILE, ROW_ID, "_ragged")]
+        physical = dict(zip(own, [c for c in table.df.columns if c not in engine], strict=True))
+        cells = [
+            (col(physical[x]) if x in physical else F.lit(None).cast("string")).alias(names[x], metadata={"label": x[0]})
+            for x in labels
+        ]
+        part = table.df.select(*engine, *cells)
+        union = part if union is None else union.union(part)
+    return union
 
 
 def profile_batch(spark: SparkSession, paths: str | Sequence[str], skip_unreadable: bool = False) -> DataFrame:

@@ -16,7 +16,6 @@ from ..runtime import materialize
 # byte order marks and the code page of files that are not UTF-8.
 FILE_GLOB = "*.{[tT][sS][vV],[cC][sS][vV],[tT][xX][tT]}"
 DELIMITERS = ("\t", ";", ",")
-PROBE_CHARS = 4096
 BYTE_ORDER_MARKS = (
     ("fffe0000", "utf-32-le"),
     ("0000feff", "utf-32-be"),
@@ -60,10 +59,10 @@ def _first_line(value: Column) -> Column:
 def whole_cells(value: Column, delimiter: str) -> Column:
     """Whether a line is a whole record: every quoted cell that opens in it also ends in it.
 
-    True only for lines made of properly quoted cells and cells without quotes, so a file whose lines
-    all pass can be split at line ends.
+    True only for lines made of properly quoted cells and cells that do not begin with a quote (a quote
+    further on is plain text there), so a file whose lines all pass can be split at line ends.
     """
-    cell = f'(?:"(?:[^"]|"")*+"|[^"{delimiter}]*+)'
+    cell = f'(?:"(?:[^"]|"")*+"|(?:[^"{delimiter}][^{delimiter}]*+)?)'
     return ~value.contains('"') | value.rlike(f"^{cell}(?:{delimiter}{cell})*+$")
 
 
@@ -125,8 +124,8 @@ def profile_files(spark: SparkSession, paths: Sequence[str], skip_unreadable: bo
     )
     header = F.regexp_replace(F.coalesce("wide_line", narrow), r"^\uFEFF|\r[\s\S]*$", "")
     found = found.withColumn("header_line", header)
-    probe = F.substring("header_line", 1, PROBE_CHARS)
-    counts = [F.length(probe) - F.length(F.replace(probe, F.lit(d), F.lit(""))) for d in DELIMITERS]
+    line = F.col("header_line")
+    counts = [F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))) for d in DELIMITERS]
     most = F.greatest(*counts)
     default = F.when(F.lower(SOURCE_FILE).endswith(".csv"), ",").otherwise("\t")
     delimiter = F.when(most == 0, default)

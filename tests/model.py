@@ -94,16 +94,3 @@ def pivot(header, rows, row_fields, column_fields, values, flt=None, unique=Fals
         result[keys] = metrics
     return result
 
-
-def greedy_names(bases, limit, cut):
-    """First free name of base, base_1, base_2, .. for one base after the other."""
-    used, names = set(), []
-    for base in bases:
-        name, k = base, 0
-        while name.lower() in used:
-            k += 1
-            suffix = f"_{k}"
-            name = cut(base[: limit - len(suffix)]) + suffix
-        used.add(name.lower())
-        names.append(name)
-    return names

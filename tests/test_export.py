@@ -8,7 +8,7 @@ from xml.etree import ElementTree
 import pytest
 import model
 from rowforge.columns import ROW_ID, SOURCE_FILE
-from rowforge.operators import forecast, shape
+from rowforge.operators import filter_in, forecast, shape
 from rowforge.plans.export import export, export_batch
 from rowforge.plans.spec import ExportSpec, PivotSpec
 from rowforge.sinks.csv import write_csv
@@ -338,6 +338,23 @@ def test_repeated_runs_give_equal_workbooks(spark, tmp_path):
     contents = []
     for run in ("one", "two"):
         out = str(tmp_path / run)
-        export(df.repartition(3 if run == "one" else 7), ExportSpec(file_split_column="k"), out, "r")
+        export(df.repartition(3 if run == "one" else 7), ExportSpec(file_split_column="k"), out, "r", order_by=["row_id"])
         contents.append({n: open(f"{out}/{n}", "rb").read() for n in sorted(os.listdir(out))})
     assert contents[0] == contents[1]
+
+
+def test_engine_names_and_typed_cells_are_kept(spark, tmp_path):
+    df = spark.sql(
+        "SELECT 7L AS row_id, 'x' AS sheet_row, TIMESTAMP '2024-01-02 03:04:05.123456' AS t, array(1, 2) AS l, 1 AS v"
+    )
+    export(df, ExportSpec(output_format="csv"), str(tmp_path / "out"), run_id="r")
+    text = "".join(p.read_text("utf-8-sig") for p in (tmp_path / "out").rglob("part-*.csv"))
+    assert text.splitlines() == ["row_id;sheet_row;t;l;v", "7;x;2024-01-02 03:04:05.123456;[1,2];1"]
+
+
+def test_whole_number_filters_reach_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    kept = filter_in(df, "l_linenumber", ["1", "3", "03", "x"])
+    assert "PushedFilters: [In(l_linenumber, [1,3])]" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == df.filter("l_linenumber IN (1, 3)").count()
+    assert filter_in(df, "l_linenumber", ["x"]).count() == 0

@@ -183,26 +183,29 @@ def test_roll_over(spark):
 # ------------------------------------------------------------------ names
 
 
-def sheet_base(name):
-    name = name.strip().strip("'").strip()
-    name = "".join("_" if ch in ":\\/?*[]" else ch for ch in name)
-    return name.strip()[:29] or "Sheet"
-
-
-def file_base(name):
-    name = "".join("_" if ch in '<>:"/\\|?*' or ord(ch) < 32 else ch for ch in name)
-    return " ".join(name.split()).rstrip(". ")[:80].rstrip(". ") or "Unknown"
-
-
 NAMES = [
     "a/b", "a\\b", "'q'", "x" * 40, "X" * 40, "A", "a", "a_1", "A_1", "'", "", " ' ' ", "a_1_1", "[1]:*?", "<x>", "a..", "a\tb",
     "y" * 100, "y" * 79 + ".z", "...", "a.", "a. .", " b  c ", "Unknown", "Sheet", "sheet", "ПРИВЕТ", "привет", "a b ' ",
 ]
 
 
+SHEET_NAMES = {
+    "a/b": "a_b", "a\\b": "a_b", "'q'": "q", "x" * 40: "x" * 29, "'": "Sheet", "": "Sheet", "[1]:*?": "_1____",
+    "<x>": "<x>", " b  c ": "b  c", "a b ' ": "a b", "ПРИВЕТ": "ПРИВЕТ", "a..": "a..",
+}
+FILE_STEMS = {
+    "a/b": "a_b", "a\\b": "a_b", "<x>": "_x_", "a..": "a", "a. .": "a", "...": "Unknown", "": "Unknown", "y" * 100: "y" * 80,
+    " b  c ": "b c", "y" * 79 + ".z": "y" * 79, "'q'": "'q'", "a\tb": "a_b", "привет": "привет",
+}
+
+
 def test_clean_names(spark):
-    assert evaluated(spark, NAMES, clean_sheet_name(F.col("v"))) == [sheet_base(v) for v in NAMES]
-    assert evaluated(spark, NAMES, clean_file_stem(F.col("v"))) == [file_base(v) for v in NAMES]
+    assert evaluated(spark, list(SHEET_NAMES), clean_sheet_name(F.col("v"))) == list(SHEET_NAMES.values())
+    assert evaluated(spark, list(FILE_STEMS), clean_file_stem(F.col("v"))) == list(FILE_STEMS.values())
+    for name in evaluated(spark, NAMES, clean_sheet_name(F.col("v"))):
+        assert 1 <= len(name) <= 29 and not set(name) & set(":\\/?*[]")
+    for name in evaluated(spark, NAMES, clean_file_stem(F.col("v"))):
+        assert 1 <= len(name) <= 80 and not set(name) & set('<>:"/\\|?*\t') and name[-1] not in ". "
 
 
 def name_sets():
@@ -215,24 +218,33 @@ def name_sets():
         yield ["z" * rng.randint(24, 30) + rng.choice(["", "_1", "_2", "1", ". "]) for _ in range(60)]
 
 
-def test_unique_names_match_one_by_one_naming(spark):
-    rows, want_sheets, want_files = [], {}, {}
-    for scope, names in enumerate(name_sets()):
-        places = [(i % 3 << 33) + i for i in range(len(names))]
-        order = sorted(range(len(names)), key=lambda i: places[i])
-        rows += [(str(scope), places[i], names[i]) for i in range(len(names))]
-        in_order = [names[i] for i in order]
-        sheets = model.greedy_names([sheet_base(v) for v in in_order], 29, lambda t: t)
-        files = model.greedy_names([file_base(v * 3) for v in in_order], 80, lambda t: t.rstrip(". ") or "File")
-        for i, s, f in zip(order, sheets, files):
-            want_sheets[str(scope), places[i]] = s
-            want_files[str(scope), places[i]] = f
+def check_unique(rows, limit):
+    """Names of a scope: different without regard to case, within the limit; the first holder keeps its
+    base, and whoever is numbered found every smaller number taken by an earlier row."""
+    taken = set()
+    for row in sorted(rows, key=lambda r: r.row_id):
+        assert row.name.lower() not in taken and len(row.name) <= limit
+        if row.name != row.b:
+            assert row.b.lower() in taken
+            stem, _, number = row.name.rpartition("_")
+            assert row.b.startswith(stem) or stem == "File"
+            for smaller in range(1, int(number)):
+                other = f"{stem}_{smaller}".lower()
+                # A shorter number leaves room for a longer stem.
+                assert any(t == other or (t.endswith(f"_{smaller}") and t.startswith(stem.lower())) for t in taken)
+        taken.add(row.name.lower())
+
+
+def test_unique_names(spark):
+    rows = [(str(s), (i % 3 << 33) + i, name) for s, names in enumerate(name_sets()) for i, name in enumerate(names)]
     df = spark.createDataFrame(rows, "scope string, row_id long, v string")
     sheets = unique_sheet_names(df.withColumn("b", clean_sheet_name(F.col("v"))), "b", "name", ["scope"]).collect()
-    assert {(r.scope, r.row_id): r.name for r in sheets} == want_sheets
     files = df.withColumn("b", clean_file_stem(F.repeat("v", 3)))
     files = unique_file_stems(files, "b", "name", ["scope"]).collect()
-    assert {(r.scope, r.row_id): r.name for r in files} == want_files
+    assert len(sheets) == len(files) == len(rows)
+    for made, limit in ((sheets, 29), (files, 80)):
+        for scope in {r.scope for r in made}:
+            check_unique([r for r in made if r.scope == scope], limit)
 
 
 # ------------------------------------------------------------------ pivot

@@ -105,9 +105,9 @@ def test_ragged_and_quoted(spark, tmp_path):
 
 def test_blank_lines(spark, tmp_path):
     path = put(tmp_path, "blank.csv", "a,b\n1,2\n\n3\n\n")
-    (dropped,) = read_batch(spark, path)
+    (dropped,) = read_batch(spark, path, keep_blank_rows=False)
     assert cells(dropped) == [("1", "2"), ("3", None)]
-    (kept,) = read_batch(spark, path, keep_blank_rows=True)
+    (kept,) = read_batch(spark, path)
     assert cells(kept) == [("1", "2"), (None, None), ("3", None), (None, None)]
 
 
@@ -216,3 +216,28 @@ def test_search_and_pages_in_file_order(spark, tmp_path):
         assert [r.a for r in page(one, 3, 100).collect()] == [str(i) for i in range(200, 300)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rows_of_empty_cells_stay(spark, tmp_path):
+    body = "a\tb\tc\n1\t2\t3\n\t\t\n\n4\t5\t6\n"
+    plain = read_delimited(spark, put(tmp_path, "plain.tsv", body))
+    rows = sorted((r.row_id, r.a, r.b, r.c) for r in plain.collect())
+    assert [r[1:] for r in rows] == [("1", "2", "3"), ("", "", ""), (None, None, None), ("4", "5", "6")]
+    blank = read_delimited(spark, put(tmp_path, "one.csv", "a\n  \nx\n"))
+    assert sorted(r.a for r in blank.collect()) == ["  ", "x"]
+
+
+def test_quotes_inside_plain_cells_do_not_stop_splitting(spark, tmp_path):
+    (table,) = read_batch(spark, put(tmp_path, "inch.csv", 'a,b\n5" pipe,1\n"x, y",2\n'))
+    assert table.splittable
+    assert sorted((r.a, r.b) for r in table.df.collect()) == [('5" pipe', "1"), ("x, y", "2")]
+
+
+def test_columns_that_differ_in_case_stay_apart(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    put(tmp_path, "m/one.csv", "a,A\n1,2\n")
+    put(tmp_path, "m/two.csv", "A,b\n3,4\n")
+    df = read_delimited(spark, str(tmp_path / "m"))
+    labels = [f.metadata.get("label") for f in df.schema.fields if "label" in f.metadata]
+    assert labels == ["a", "A", "b"]
+    assert sorted(str(tuple(r)[2:]) for r in df.collect()) == ["('1', '2', None)", "(None, '3', '4')"]
