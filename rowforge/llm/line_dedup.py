@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import column
+from .common import WORD, column
 
 #: Counters of the frequency table, which every task holds.
 SLOTS = 1 << 16
@@ -79,7 +79,8 @@ def _line_rows(docs: DataFrame, classes: list[int]) -> DataFrame:
     A prefix only brings lines together, so its words are kept as 32-bit hashes: words that collide add
     candidates, nothing else.
     """
-    lines = _with_tokens(_lines(docs), classes).filter("size(tokens) > 0")
+    # A test on the words would be pushed below them and compute them twice.
+    lines = _with_tokens(_lines(docs).filter(F.col("_line").rlike(WORD)), classes)
     size = F.size("tokens")
     zero = F.lit(0).cast("long")
     bitmap = F.aggregate("tokens", zero, lambda seen, t: seen.bitwiseXOR(_bit(t.bitwiseAND(F.lit(63)))))
