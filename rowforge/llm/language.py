@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .common import column
 
 PROFILE = 400
@@ -162,7 +163,9 @@ def learn_profiles(docs: DataFrame, learn_from: Column, rows_per_language: int =
     drawn = allowed.select("lang", draw.alias("draw"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     last = drawn.withColumn("place", place).filter(F.col("place") <= rows_per_language)
-    last = last.groupBy(F.col("lang").alias("_lang")).agg(F.max("draw").alias("_last"))  # one row per language
+    last = last.groupBy(F.col("lang").alias("_lang")).agg(F.max("draw").alias("_last"))
+    # One row per language: stored, its size is known, and the texts need not be dealt by language.
+    last = materialize(last, "language-limits")
     taught = allowed.join(last, (F.col("lang") == F.col("_lang")) & (draw <= F.col("_last"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
