@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import curriculum, decontaminate, line_dedup
@@ -57,8 +58,10 @@ def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    found = decontaminate.find_contamination(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    docs, benchmark = read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")
+    found = decontaminate.find_contamination(docs, benchmark, proximity=True)
+    found = found.withColumn("n_near_items", F.size("near_items").cast("long"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def op10_feistel_sharding(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,8 +8,10 @@
 5. Postings meet anchors on the term. Subtracting the anchor's offset brings all hits of one occurrence to
    one diagonal, so lists are intersected by counting the distinct anchors on a diagonal.
 6. Diagonals that could hold a window are compared word by word with the document itself.
+7. For proximity, hits need not lie on one diagonal: those of one near occurrence lie within a band of
+   diagonals, so bands that hold enough anchors are searched for a stretch with all words of a window.
 
-Hash collisions only add candidates; the comparison decides, so matches are exact.
+Hash collisions only add candidates; the comparison decides, so phrase and proximity matches are exact.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ WINDOW = 10
 TABLE = 1 << 20
 #: Anchors of a window: a candidate diagonal must hold so many of them.
 ANCHORS = 2
+#: Words that may stand between those of a proximity match, in all.
+SLACK = 5
+#: Hits of one near occurrence span fewer diagonals than half a band; bands overlap by half.
+BAND = 2 * (2 * WINDOW + SLACK - 1)
 _KEPT_WORDS = 500_000
 
 #: Bytes 00-2F, 3A-60 and 7B-7F part words; A-Z are lower-cased first.
@@ -198,10 +204,66 @@ def _verify(candidates: DataFrame, id_type: str) -> DataFrame:
     return candidates.select("doc_id", "hash", "text", "found").mapInArrow(run, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _near_bands(met: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(doc_id, hash, item, spots)``: bands with enough anchors, as their lowest diagonal and the anchors.
+
+    A band holds at most BAND diagonals times the anchors of one item, however long the document.
+    """
+    lows = [F.col("diagonal") - F.pmod(F.col("diagonal") + F.lit(s), F.lit(BAND)) for s in (0, BAND // 2)]
+    banded = met.withColumn("low", F.explode(F.array(*lows)))
+    bands = banded.groupBy("doc_id", "hash", "item", "low").agg(F.collect_set("offset").alias("offsets"))
+    bands = bands.join(needed, "item").filter(F.size("offsets") >= F.col("needed"))
+    return bands.groupBy("doc_id", "hash", "item").agg(F.collect_list(F.struct("low", "offsets")).alias("spots"))
+
+
+def _is_near(item: list[bytes], words: list[bytes], low: int, offsets: list[int]) -> bool:
+    """Whether all words of a window of the item stand close together within the band."""
+    n = min(WINDOW, len(item))
+    for start in range(len(item) - n + 1):
+        if sum(start <= o < start + n for o in offsets) < min(ANCHORS, n):
+            continue
+        wanted, last = set(item[start : start + n]), {}
+        for at in range(max(0, low + start), min(len(words), low + BAND + start + n - 1)):
+            if words[at] in wanted:
+                last[words[at]] = at
+                if len(last) == len(wanted) and at - min(last.values()) < n + SLACK:
+                    return True
+    return False
+
+
+def _verify_near(candidates: DataFrame, id_type: str) -> DataFrame:
+    """Names of the items near a document. Input rows have ``doc_id, hash, text`` and ``found``: structs of
+    item name, text and spots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for text, found in zip(batch.column(2), batch.column(3), strict=True):
+                words, names = words_of(text.as_py()), set()
+                for f in found.as_py():
+                    item = words_of(f["item_text"])
+                    if any(_is_near(item, words, s["low"], s["offsets"]) for s in f["spots"]):
+                        names.add(f["name"])
+                near.append(sorted(names))
+            made = pa.array(near, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["doc_id", "hash", "near"])
+
+    schema = f"doc_id {id_type}, hash long, near array<string>"
+    return candidates.select("doc_id", "hash", "text", "found").mapInArrow(run, schema)
+
+
+def _with_texts(docs: DataFrame, found: DataFrame, purpose: str) -> DataFrame:
+    """Documents that have candidates, with their texts and ``found``."""
+    found = materialize(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), purpose)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["hash"] == found["_hash"]))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, proximity: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, also
     ``spans`` (word ranges that are hit, ``start:end`` comma-joined), ``items`` (their ids) and ``hash``
-    (of the text).
+    (of the text). With ``proximity`` also ``near_items``: ids of the items of which all words of a window
+    stand, in any order, within a stretch of SLACK more words than the window has; every item with an
+    occurring window is among them.
 
     A window is WINDOW consecutive words of an item; a shorter item that has words is one window. Null
     texts and null items have no words and match nothing. A null item id with words counts as an item
@@ -226,6 +288,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     postings = index.filter("term is not null")
     met = postings.join(anchors.withColumnRenamed("at", "offset"), "term")
     met = met.select("doc_id", "hash", "item", (F.col("at") - F.col("offset")).alias("diagonal"), "offset").distinct()
+    if proximity:
+        met = materialize(met, "met")
     lined = met.groupBy("doc_id", "hash", "item", "diagonal").agg(F.count(F.lit(1)).alias("n"))
     lined = lined.join(needed, "item").filter("n >= needed")
     texts = items.select("item", "name", F.col("text").alias("item_text"))
@@ -233,16 +297,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = lined.groupBy("doc_id", "hash").agg(
         F.collect_list(F.struct("item", "name", "item_text", "diagonal")).alias("found")
     )
-    found = materialize(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash"), "found")
-    once = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["hash"] == found["_hash"]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    verified = _verify(once, kind).filter("n_items > 0")
+    verified = _verify(_with_texts(docs, found, "found"), kind).filter("n_items > 0")
     # Repeated rows of a document were compared each; one result is enough.
     verified = materialize(verified.dropDuplicates(["doc_id", "hash"]), "verified")
     verified = verified.withColumnRenamed("doc_id", "_id").withColumnRenamed("hash", "_hash")
     own = index.filter("term is null")
     none = hashlib.sha256(b"").hexdigest()
     joined = own.join(verified, own["doc_id"].eqNullSafe(verified["_id"]) & (own["hash"] == verified["_hash"]), "left")
+    near = []
+    if proximity:
+        spots = _near_bands(met, needed).join(texts, "item")
+        spots = spots.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("name", "item_text", "spots")).alias("found"))
+        close = _verify_near(_with_texts(docs, spots, "near-found"), kind).filter(F.size("near") > 0)
+        close = materialize(close.dropDuplicates(["doc_id", "hash"]), "near-verified")
+        close = close.select(F.col("doc_id").alias("_near_id"), F.col("hash").alias("_near_hash"), "near")
+        same = own["doc_id"].eqNullSafe(close["_near_id"]) & (own["hash"] == close["_near_hash"])
+        joined = joined.join(close, same, "left")
+        near = [F.coalesce("near", F.array().cast("array<string>")).alias("near_items")]
     return joined.select(
         "doc_id",
         F.col("at").cast("long").alias("n_words"),
@@ -253,6 +325,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         "hash",
+        *near,
     )
 
 
@@ -289,9 +362,27 @@ doc_words AS MATERIALIZED (
     SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (
         SELECT DISTINCT doc_id, item FROM hits h JOIN windows w ON w.body = h.body AND w.n = h.n)
     GROUP BY doc_id
+), near_windows AS MATERIALIZED (
+    SELECT DISTINCT item, n, list_sort(list_distinct(w[i:i + n - 1])) AS words FROM (
+        SELECT item, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i
+        FROM item_words WHERE len(w) > 0)
+), spots AS MATERIALIZED (
+    SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc_words)
+    WHERE w[i] IN (SELECT unnest(words) FROM near_windows)
+), rarest AS (
+    SELECT item, n, words, arg_min(word, coalesce(f, 0)) AS word
+    FROM (SELECT *, unnest(words) AS word FROM near_windows)
+    LEFT JOIN (SELECT word, count(*) AS f FROM spots GROUP BY word) USING (word) GROUP BY item, n, words
+), stretches AS (
+    SELECT doc_id, item, n, words, w, unnest(range(greatest(1, i - n - 4), i + 1)) AS s
+    FROM rarest JOIN spots USING (word) JOIN doc_words USING (doc_id)
+), near_items AS (
+    SELECT doc_id, count(DISTINCT item) AS n_near_items FROM stretches
+    WHERE list_has_all(w[s:s + n + 4], words) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-    coalesce(n_hit, 0) > 0 AS contaminated
+    coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+LEFT JOIN near_items USING (doc_id)
 """

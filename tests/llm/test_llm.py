@@ -204,6 +204,47 @@ def test_contamination(docs, empty, benchmark):
     assert none.filter("contaminated").count() == 0 and none.count() == len(rows())
 
 
+def near_names(text, items):
+    words, names = decontaminate.words_of(text), set()
+    for name, body in items:
+        item = decontaminate.words_of(body)
+        n = min(10, len(item))
+        for i in range(len(item) - n + 1 if n else 0):
+            wanted = set(item[i : i + n])
+            if any(wanted <= set(words[s : s + n + decontaminate.SLACK]) for s in range(len(words))):
+                names.add(name)
+    return sorted(names)
+
+
+def test_proximity(spark, docs, empty, benchmark):
+    rare = [f"w{i}" for i in range(30)]
+    items = [("long", " ".join(rare)), ("short", "w3 w9 w9"), ("one", "solo"), ("same", "x x x x x x x x x x x"), (None, None)]
+    spread = [rare[i : i + 10] for i in range(0, 20, 5)]
+    texts = [
+        " ".join(reversed(rare[5:16])),
+        "a b " + " pad ".join([" ".join(spread[1][:4]), *spread[1][4:8], " ".join(spread[1][8:])]) + " end",
+        " pad pad ".join(spread[2]),
+        "filler " * 47 + " ".join(sorted(spread[3])) + " filler" * 30,
+        "w9 w3",
+        "w9 a b c d e f g w3 solo",
+        " ".join(rare[:9]),
+        "x",
+        "",
+        None,
+    ]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = decontaminate.find_contamination(made, spark.createDataFrame(items, "item_id string, text string"), True)
+    got = {r["doc_id"]: r["near_items"] for r in found.collect()}
+    assert got == {i: near_names(t, [x for x in items if x[1]]) for i, t in enumerate(texts)}
+    assert got[0] == got[1] == got[3] == ["long"] and got[2] == [] and got[4] == ["short"]
+    known = [("" if r[0] is None else str(r[0]), r[1]) for r in benchmark.collect()]
+    whole = decontaminate.find_contamination(docs, benchmark, True)
+    expected = sorted(str((r[0], near_names(r[1], known))) for r in rows())
+    assert sorted(str((r["doc_id"], r["near_items"])) for r in whole.collect()) == expected
+    assert all(set(r["items"]) <= set(r["near_items"]) for r in whole.collect())
+    assert decontaminate.find_contamination(empty, benchmark, True).count() == 0
+
+
 def test_contamination_words():
     assert decontaminate.words_of("A-B_c\x7fÉ9\x00z") == [b"a", b"b", b"c", "É9".encode(), b"z"]
 
