@@ -356,6 +356,14 @@ def ins_page(spark: SparkSession, sf: str) -> DataFrame:
     return page(_events(spark, sf), 3, 100, ["event_id"])
 
 
+_LINE_KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate"
+
+
+@query(f"SELECT * FROM lineitem ORDER BY {_LINE_KEYS} LIMIT 100 OFFSET 5700")
+def ins_page_deep(spark: SparkSession, sf: str) -> DataFrame:
+    return page(read_table(spark, sf, "lineitem"), 58, 100, _LINE_KEYS.split(", "))
+
+
 @query("SELECT count(*) AS total_rows, CAST(greatest(1, ceil(count(*) / 100.0)) AS BIGINT) AS n_pages FROM events")
 def ins_page_info(spark: SparkSession, sf: str) -> DataFrame:
     return page_info(read_table(spark, sf, "events"), 100)

@@ -15,8 +15,8 @@ from .filters import filter_in
 from .numbering import number_rows, position_rows, running, slice_of, with_row_id
 from .shape import shape
 
-# Pages up to this row come from a top-k; deeper ones from distributed positions.
-SHALLOW_ROWS = 100_000
+# Pages that end by this row come from a top-k, a cheaper way to the same order.
+TOP_ROWS = 5_000
 
 
 def distinct_values(
@@ -96,17 +96,53 @@ def forecast_totals(counts: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int, order_by: Sequence[str] = ()) -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows, in input order or by ``order_by``."""
+    """Page ``number`` (from 1) of ``size`` rows, in input order or by ``order_by``.
+
+    However deep the page is, only counts or keys are looked at for the whole table; whole rows are read
+    once and only those of the page go on. Ties of ``order_by`` come in input order where rows have ids,
+    else by a hash of the row, so that pages never repeat or skip a row.
+    """
     start = (number - 1) * size
-    if start + size <= SHALLOW_ROWS:
-        if order_by:
-            return df.orderBy(*order_by).offset(start).limit(size)
-        rows = with_row_id(df)
-        by = [c for c in (SOURCE_FILE, ROW_ID) if c in rows.columns]
-        return rows.orderBy(*by).offset(start).limit(size).drop(*(c for c in by if c not in df.columns))
-    order_by = list(order_by) or [c for c in (SOURCE_FILE, ROW_ID) if c in df.columns]
-    placed = position_rows(df, order_by)
-    return placed.filter(F.col("row_pos").between(start, start + size - 1)).orderBy("row_pos").select(*df.columns)
+    if order_by:
+        return _page_by_keys(df, start, size, order_by)
+    rows = with_row_id(df)
+    by = [c for c in (SOURCE_FILE,) if c in rows.columns]
+    if start + size <= TOP_ROWS:
+        return rows.orderBy(*map(col, by), ROW_ID).offset(start).limit(size).select(*map(col, df.columns))
+    blocks = rows.groupBy(*map(col, by), slice_of().alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per block of the input, so the window stays small.
+    earlier = Window.orderBy(*map(col, by), "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    blocks = blocks.filter((F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
+    blocks = blocks.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slice").alias("_s"), "_before")
+    match = slice_of() == F.col("_s")
+    for i, c in enumerate(by):
+        match = match & col(c).eqNullSafe(F.col(f"_k{i}"))
+    # Blocks that overlap the page: no more than rows of the page.
+    near = rows.join(F.broadcast(blocks), match)
+    place = Window.partitionBy(*[f"_k{i}" for i in range(len(by))], "_s").orderBy(ROW_ID)
+    placed = near.withColumn("_pos", F.col("_before") + F.row_number().over(place) - 1)
+    return placed.filter(F.col("_pos").between(start, start + size - 1)).orderBy("_pos").select(*map(col, df.columns))
+
+
+def _page_by_keys(df: DataFrame, start: int, size: int, order_by: Sequence[str]) -> DataFrame:
+    """The page from a sort of keys alone; equal keys and hash mean rows that may stand for each other."""
+    hashed = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys = dict.fromkeys([*order_by, *(c for c in (SOURCE_FILE, ROW_ID) if c in df.columns)])
+    named = {f"_k{i}": col(c) for i, c in enumerate(keys)} | {"_hash": F.xxhash64(*hashed)}
+    if start + size <= TOP_ROWS:
+        return df.orderBy(*named.values()).offset(start).limit(size)
+    narrow = df.select(*[c.alias(n) for n, c in named.items()])
+    placed = position_rows(narrow, list(named), "_pos").filter(F.col("_pos").between(start, start + size - 1))
+    wanted = placed.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    match = F.lit(True)
+    for name, value in named.items():
+        match = match & value.eqNullSafe(F.col(name))
+    found = df.join(F.broadcast(wanted), match)  # at most ``size`` rows
+    copies = Window.partitionBy("_first").orderBy(F.lit(0))
+    found = found.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= size)
+    found = found.filter(F.col("_copy") <= F.col("_n"))
+    return found.orderBy("_first", "_copy").select(*map(col, df.columns))
 
 
 def page_info(df: DataFrame, size: int) -> DataFrame:

@@ -200,7 +200,7 @@ def export_batch(
     spec: ExportSpec,
     path: str,
     run_id: str,
-    keep_blank_rows: bool = False,
+    keep_blank_rows: bool = True,
     skip_unreadable: bool = False,
     mode: str = "append",
     **options: int,
@@ -219,7 +219,7 @@ def export_batch(
             part = export(table.df, spec, path, run_id, bases=bases, mode=mode, **options)
             mode = "append"
         except Exception as failure:  # one table must not stop the others
-            rows = [(f, str(failure).splitlines()[0]) for f in table.files]
+            rows = [(f, next(iter(str(failure).splitlines()), "") or type(failure).__name__) for f in table.files]
             part = spark.createDataFrame(rows, "source_file string, error string").select(SOURCE_FILE, *empty, "error")
         result = result.unionByName(part)
     return result

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,11 +332,19 @@ def test_distinct_values(spark):
 
 def test_pages(spark, monkeypatch):
     df = column(spark, [str(i) for i in range(23)]).repartition(5)
-    for limit in (100_000, 0):
-        monkeypatch.setattr(inspect, "SHALLOW_ROWS", limit)
+    tied = spark.createDataFrame([(i % 2, None if i % 3 else i % 5) for i in range(40)] * 2, "k int, v int").repartition(7)
+    seen = []
+    for limit in (10_000, 0):
+        monkeypatch.setattr(inspect, "TOP_ROWS", limit)
+        seen.append([[tuple(r) for r in page(tied, p, 9, ["k"]).collect()] for p in range(1, 11)])
+        assert Counter(r for p in seen[-1] for r in p) == Counter(tuple(r) for r in tied.collect())
+        gaps = df.filter("v not in ('0', '7')")
+        assert [r.v for r in page(gaps, 2, 5).collect()] == ["6", "8", "9", "10", "11"]
+        assert [r.v for r in page(df, 9, 5).collect()] == []
         pages = [[r.v for r in page(df, p, 5, ["row_id"]).collect()] for p in range(1, 7)]
         assert [v for p in pages for v in p] == [str(i) for i in range(23)] and pages[5] == []
         assert [r.v for r in page(df, 2, 5).collect()] == ["5", "6", "7", "8", "9"]
+    assert seen[0] == seen[1]
     assert tuple(page_info(df, 5).first()) == (23, 5)
     assert tuple(page_info(df.filter("v = 'x'"), 5).first()) == (0, 1)
 
