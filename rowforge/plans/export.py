@@ -20,7 +20,7 @@ from ..runtime import materialize
 from ..sinks.csv import write_csv, write_parquet
 from ..sinks.workbook import write_workbooks
 from ..sources.delimited import read_batch
-from ..sources.profile import profile_files
+from ..sources.profile import escape_glob, profile_files, text_lines
 from .spec import ExportSpec, PivotSpec, aggregation
 
 MANIFEST = "source_file string, dest_file string, dest_sheet string, sheet_part int, file_name string, sheet_name string, n_rows long, error string"
@@ -194,6 +194,24 @@ def _pivot_csv(source: DataFrame, spec: ExportSpec, bases: DataFrame) -> DataFra
     return ordered.join(bases.select(SOURCE_FILE, file_name), SOURCE_FILE)
 
 
+def _cause(failure: Exception) -> str:
+    """The innermost cause that the message names, else its first line."""
+    lines = str(failure).splitlines() or [""]
+    causes = [x.removeprefix("Caused by: ") for x in lines if x.startswith("Caused by: ")]
+    return (causes or lines)[-1 if causes else 0] or type(failure).__name__
+
+
+def _unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """Files that cannot be read to their end, with the cause. Only failed jobs come here."""
+    found = {}
+    for file in files:
+        try:
+            text_lines(spark, [escape_glob(file)]).agg(F.max("seq"), F.sum(F.length("value"))).first()
+        except Exception as failure:  # whatever the storage raises is the cause to report
+            found[file] = _cause(failure)
+    return found
+
+
 def export_batch(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -207,19 +225,27 @@ def export_batch(
 ) -> DataFrame:
     """Export many text files with one spec; files with the same dialect and header share a job.
 
-    A job that fails leaves an error row per file in the manifest, and the other jobs go on.
+    If a job fails, its files are read one by one; those that cannot be read get an error row with the cause
+    in the manifest, and the others are exported again. If all can be read, every file of the job gets an
+    error row. The other jobs go on in any case.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     profile = profile_files(spark, paths, skip_unreadable)
     bases = materialize(base_names(profile.filter("error IS NULL"), run_id), "bases")
     empty = [F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in MANIFEST.split(", ")[1:-1])]
     result = profile.filter("error IS NOT NULL").select(SOURCE_FILE, *empty, "error")
-    for table in read_batch(spark, paths, keep_blank_rows, profile=profile):
+    tables = read_batch(spark, paths, keep_blank_rows, profile=profile)
+    while tables:
+        table = tables.pop(0)
         try:
             part = export(table.df, spec, path, run_id, bases=bases, mode=mode, **options)
             mode = "append"
         except Exception as failure:  # one table must not stop the others
-            rows = [(f, next(iter(str(failure).splitlines()), "") or type(failure).__name__) for f in table.files]
+            broken = _unreadable(spark, table.files)
+            others = [f for f in table.files if f not in broken]
+            if broken and others:
+                tables += read_batch(spark, paths, keep_blank_rows, profile=profile.filter(col(SOURCE_FILE).isin(others)))
+            rows = list((broken or dict.fromkeys(table.files, _cause(failure))).items())
             part = spark.createDataFrame(rows, "source_file string, error string").select(SOURCE_FILE, *empty, "error")
         result = result.unionByName(part)
     return result

@@ -290,6 +290,23 @@ def test_batch(spark, tmp_path):
     assert outputs["one (conver_r)_x.csv"] == [["v"], ["1"]]
 
 
+def test_file_that_breaks_off_leaves_others(spark, tmp_path):
+    jvm, source = spark._jvm.org.apache.hadoop.fs, tmp_path / "in"
+    files = jvm.FileSystem.getLocal(spark._jsc.hadoopConfiguration())
+    for name in ("a", "b", "c"):
+        made = tmp_path / f"{name}.csv"
+        made.write_text("k,v\n" + "".join(f"{name},{i}\n" for i in range(100_000)))
+        files.copyFromLocalFile(jvm.Path(str(made)), jvm.Path(str(source / f"{name}.csv")))
+    with (source / "b.csv").open("r+b") as f:  # its check sums no longer hold near the end
+        f.seek(-10, 2)
+        f.write(b"?")
+    result = export_batch(spark, str(source), spec_of(output_format="csv"), str(tmp_path / "out"), "r1", skip_unreadable=True)
+    rows = {r.source_file[-5:]: (r.n_rows, r.error) for r in result.collect()}
+    assert rows.keys() == {"a.csv", "b.csv", "c.csv"}
+    assert rows["a.csv"] == rows["c.csv"] == (100_000, None)
+    assert rows["b.csv"][0] is None and "hecksum" in rows["b.csv"][1]
+
+
 def test_odd_headers(spark, tmp_path):
     header = ["a b,{}()=", "x.y", "`q`", "", "x.y", "X.Y", "row_id", "file_name"]
     src = tmp_path / "odd.csv"
