@@ -696,6 +696,24 @@ def nm_file(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("value", "name")
 
 
+_NUMBERED_SQL = (
+    "SELECT row_number() OVER (ORDER BY p_partkey) AS i, value, value AS base FROM (SELECT p_partkey, 'x_' || p_partkey AS "
+    "value FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey + 1000000, 'X' FROM part WHERE p_partkey % 10 = 0)"
+)
+
+
+@query(_unique_sql(_NUMBERED_SQL, 29, "{text}"))
+def nm_sheet_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that read like the numbered names of another value."""
+    part = read_table(spark, sf, "part")
+    numbered = part.filter("p_partkey % 3 > 0").select(
+        F.concat(F.lit("x_"), F.col("p_partkey").cast("string")).alias("value"), F.col("p_partkey").cast("long").alias("row_id")
+    )
+    same = part.filter("p_partkey % 10 = 0").select(F.lit("X").alias("value"), (F.col("p_partkey") + 1000000).cast("long").alias("row_id"))
+    values = numbered.unionByName(same)
+    return unique_sheet_names(values.withColumn("base", clean_sheet_name(F.col("value"))), "base", "name").select("value", "name")
+
+
 # ---------------------------------------------------------------- run metrics
 
 
