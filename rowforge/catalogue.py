@@ -37,6 +37,7 @@ from .operators import (
     page_info,
     pivot_grid,
     pivot_long,
+    pivot_preview,
     pivot_wide,
     place_rows,
     position_rows,
@@ -52,6 +53,7 @@ from .operators import (
     with_row_id,
     with_source,
 )
+from .operators.layout import file_stem
 from .plans.export import export, export_batch
 from .plans.spec import ExportSpec, PivotSpec
 from .runtime import materialize, scratch_dir
@@ -609,6 +611,30 @@ def pv_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("row_key")[0].alias("row_key"), F.posexplode("cells").alias("idx", "value"))
 
 
+@query(
+    "SELECT CAST(l_linenumber AS VARCHAR) AS l_linenumber, sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS \"F - l_quantity (sum)\", sum(l_quantity) "
+    "FILTER (WHERE l_linestatus = 'O') AS \"O - l_quantity (sum)\" FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 3"
+)
+def pv_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of the wide form."""
+    spec = PivotSpec(("l_linenumber",), ("l_linestatus",), (("l_quantity", "sum"),))
+    return pivot_preview(read_table(spark, sf, "lineitem"), spec, 3)
+
+
+@query(
+    "SELECT l_returnflag AS row_key, CAST(l_partkey AS VARCHAR) AS col_key, 'l_quantity_' || m AS metric, CASE m WHEN "
+    "'sum' THEN sum(l_quantity) ELSE CAST(count(*) AS DOUBLE) END AS value FROM lineitem, (SELECT unnest(['sum', "
+    "'count']) AS m) GROUP BY l_returnflag, l_partkey, m"
+)
+def pv_many_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """A pivot with more columns than a sheet shall have comes in the long form."""
+    spec = PivotSpec(("l_returnflag",), ("l_partkey",), (("l_quantity", "sum"), ("l_quantity", "count")))
+    _, rows = pivot_grid(with_source(read_table(spark, sf, "lineitem")), spec, max_columns=100)
+    key = F.col("row_key")
+    cells = [key[0].alias("row_key"), key[1].alias("col_key"), key[2].alias("metric"), F.col("cells")[0].alias("value")]
+    return rows.select(*cells)
+
+
 # ---------------------------------------------------------------- layout and names
 
 _LAYOUT = ExportSpec(
@@ -818,17 +844,111 @@ def snk_pivot_csv(spark: SparkSession, sf: str) -> DataFrame:
     return back.drop("source_file", "row_id")
 
 
-@query("SELECT o_orderpriority AS dest_file, count(*) AS n_rows FROM orders GROUP BY o_orderpriority")
+def _split_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a split CSV output with the destination taken from its file names."""
+    back = read_delimited(spark, folder)
+    name = F.regexp_extract("source_file", r"file_name=([^/]*)\.csv/", 1)
+    return back.select(
+        F.regexp_extract(name, r" \(conver_[^)]*\)_(.*)$", 1).alias("dest_file"),
+        *_ORDER_COLUMNS,
+    )
+
+
+@query(_ORDERS_AS_TEXT.replace("SELECT", "SELECT o_orderpriority AS dest_file,", 1))
 def bt_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of a batch, as its outputs hold them."""
+    folder = scratch_dir(spark, "batch")
     spec = ExportSpec(output_format="csv", file_split_column="o_orderpriority")
-    done = export_batch(spark, _orders_as_csv(spark, sf), spec, scratch_dir(spark, "batch"), "run")
-    return done.filter("error IS NULL").groupBy("dest_file").agg(F.sum("n_rows").alias("n_rows"))
+    export_batch(spark, _orders_as_csv(spark, sf), spec, folder, "run")
+    return _split_back(spark, folder)
+
+
+@query(
+    "SELECT DISTINCT 'part' || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_2' END || ' (conver_run)_' || o_orderstatus || "
+    "'.csv' AS file_name, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, CAST(NULL AS VARCHAR) AS error FROM "
+    "orders UNION ALL SELECT NULL, NULL, NULL, 'no line read'"
+)
+def bt_per_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file is a scope of its own for names and duplicates; a file without a line gets an error row."""
+    folder, out = scratch_dir(spark, "files"), scratch_dir(spark, "batch")
+    orders = read_table(spark, sf, "orders").select(*_ORDER_COLUMNS)
+    for half in (0, 1):
+        write_csv(orders.filter(F.col("o_orderkey") % 2 == half).coalesce(1), f"{folder}/{half}")
+    orders.limit(0).select("o_orderstatus").coalesce(1).write.text(f"{folder}/empty")
+    spec = ExportSpec(output_format="csv", file_split_column="o_orderstatus", selected_columns=("o_custkey", "o_orderstatus"))
+    done = materialize(export_batch(spark, folder, spec, out, "run"))
+    # The writer gives its files names of its own; what comes after them is to be seen.
+    shown = F.replace("file_name", file_stem(F.col("source_file")), F.lit("part"))
+    names = done.filter("error IS NULL").select("file_name", shown.alias("shown")).distinct()
+    back = read_delimited(spark, out)
+    back = back.withColumn("file_name", F.regexp_extract("source_file", r"file_name=([^/]*)/", 1)).join(names, "file_name")
+    none = F.lit(None).cast("string")
+    rows = back.select(F.col("shown").alias("file_name"), "o_custkey", "o_orderstatus", none.alias("error"))
+    failed = done.filter("error IS NOT NULL").select(none.alias("file_name"), none.alias("o_custkey"), none.alias("o_orderstatus"), "error")
+    return rows.unionByName(failed)
 
 
-@query("SELECT o_orderpriority AS dest_file, count(*) AS n_rows FROM orders GROUP BY o_orderpriority")
+@query(_ORDERS_AS_TEXT.replace("SELECT", "SELECT o_orderpriority AS dest_file,", 1))
 def st_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the files that arrived, as the outputs hold them."""
     spec = ExportSpec(output_format="csv", file_split_column="o_orderpriority")
     out = scratch_dir(spark, "arrivals")
     export_arrivals(spark, _orders_as_csv(spark, sf), spec, out, scratch_dir(spark, "progress")).awaitTermination()
-    done = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/manifest")
-    return done.filter("error IS NULL").groupBy("dest_file").agg(F.sum("n_rows").alias("n_rows"))
+    return _split_back(spark, out)
+
+
+_NOTE = "Заказ "
+
+
+@query(
+    "SELECT encoding, delimiter, CAST(o_orderkey AS VARCHAR) AS o_orderkey, '" + _NOTE + "' || o_orderpriority AS note FROM "
+    "orders, (VALUES ('utf-8', ';'), ('windows-1251', chr(9)), ('utf-16-be', ',')) AS d(encoding, delimiter)"
+)
+def src_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of several encodings, delimiters and extensions, found out and read; others are passed over."""
+    folder = scratch_dir(spark, "encodings")
+    orders = read_table(spark, sf, "orders")
+
+    def write(name: str, note: str, **options: str) -> None:
+        table = orders.select("o_orderkey", F.concat(F.lit(note), "o_orderpriority").alias("note"))
+        table.write.options(header="true", **options).csv(f"{folder}/{name}")
+
+    write("one", _NOTE, sep=";")
+    # The bytes of the older code page, written as the characters that have these bytes in ISO-8859-1.
+    write("two", _NOTE.encode("windows-1251").decode("latin-1"), sep="\t", encoding="ISO-8859-1", extension="tsv")
+    write("three", _NOTE, sep=",", encoding="UTF-16")
+    write("four", _NOTE, sep=",", extension="log")
+    found = profile_batch(spark, folder).select("source_file", "encoding", "delimiter")
+    return read_delimited(spark, folder).join(found, "source_file").select("encoding", "delimiter", "o_orderkey", "note")
+
+
+@query(
+    "SELECT o_orderpriority AS dest_file, o_orderpriority, o_orderkey, o_custkey, o_orderstatus FROM orders WHERE "
+    "o_orderstatus = 'F'"
+)
+def prj_carried_over(spark: SparkSession, sf: str) -> DataFrame:
+    """A job carried to another header: known columns keep their order, new ones follow, settings on columns
+    that are gone are cleared."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    spec = ExportSpec(
+        filter_column="o_orderstatus",
+        filter_values=("F",),
+        file_split_column="o_orderpriority",
+        sheet_split_column="o_comment",
+        selected_columns=("o_orderpriority", "o_comment", "o_orderkey"),
+        deduplicate_rows=False,
+    ).carry_to(orders.columns)
+    return shape(orders, spec).drop("source_file", "dest_sheet")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders")
+def prj_dependent_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """A new selection clears filter and splits on columns it leaves out."""
+    spec = ExportSpec(
+        filter_column="o_orderstatus",
+        filter_values=("F",),
+        file_split_column="o_orderpriority",
+        selected_columns=("o_orderstatus", "o_orderpriority"),
+        deduplicate_rows=False,
+    ).select(("o_custkey", "o_orderkey"))
+    return shape(read_table(spark, sf, "orders"), spec).drop("source_file", "dest_file", "dest_sheet")

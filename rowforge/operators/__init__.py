@@ -20,7 +20,7 @@ from .inspect import (
 from .layout import manifest, place_rows, sheet_parts
 from .naming import clean_file_stem, clean_sheet_name, unique_file_stems, unique_sheet_names
 from .numbering import number_rows, position_rows, running, with_row_id
-from .pivot import pivot_grid, pivot_long, pivot_wide
+from .pivot import pivot_grid, pivot_long, pivot_preview, pivot_wide
 from .projection import select_columns
 from .routing import route
 from .shape import destinations, export_metrics, shape, with_source

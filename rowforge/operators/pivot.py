@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..columns import ROW_ID, SOURCE_FILE, col, find, require
 from ..functions import as_text, to_number
+from ..labels import PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER
 from ..plans.spec import PivotSpec, aggregation
 from ..runtime import materialize
 from .filters import drop_blank_rows, filter_in
@@ -177,6 +178,19 @@ def pivot_wide(
     )
 
 
+def pivot_preview(
+    df: DataFrame,
+    spec: PivotSpec,
+    n: int = 100,
+    filter_column: str = "",
+    filter_values: Iterable[str] | DataFrame = (),
+    **options,
+) -> DataFrame:
+    """The first ``n`` rows of the wide form in order of their row keys; options as for ``pivot_wide``."""
+    wide = pivot_wide(df, spec, filter_column, filter_values, **options)
+    return wide.orderBy(*map(col, wide.columns[: len(_row_names(spec))])).limit(n)
+
+
 def pivot_grid(
     df: DataFrame,
     spec: PivotSpec,
@@ -188,7 +202,8 @@ def pivot_grid(
     """The wide form as arrays, so that every ``by`` group has its own columns.
 
     Returns (headers, rows): ``by, header array<string>`` and ``by, row_key array<string>,
-    cells array<double>``. The array of column keys per group is refused beyond ``max_columns``.
+    cells array<double>``. A group with more than ``max_columns`` column keys comes in the long form, with
+    a warning: column key and metric end its row keys, and each row has one cell.
     """
     groups = materialize(pivot_groups(df, spec, filter_column, filter_values, by), "pivot")
     names, metrics = _column_keys(spec), spec.metrics
@@ -198,9 +213,13 @@ def pivot_grid(
 
     distinct = groups.select(*by_cols, column_key.alias("_key")).distinct()
     counted = distinct.groupBy(*by_cols).agg(F.count(F.lit(1)).alias("_n"))
-    worst = counted.agg(F.max("_n")).first()[0] or 0
-    if worst > max_columns:
-        raise ValueError(f"pivot has more than {max_columns} column keys; use the long form")
+    broad = materialize(counted.filter(F.col("_n") > max_columns).select(*by_cols), "pivot-broad")
+    some_broad = not broad.isEmpty()
+    every, on = groups, list(by)
+    if some_broad:
+        warnings.warn(f"pivots with more than {max_columns} column keys are written in the long form", stacklevel=2)
+        groups = groups.join(broad, on, "left_anti")
+        distinct = distinct.join(broad, on, "left_anti")
     keys = distinct.groupBy(*by_cols).agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
 
     text = F.transform(
@@ -214,7 +233,19 @@ def pivot_grid(
 
     cell = F.struct(column_key.alias("k"), F.array(*[f"_m{i}" for i in range(len(metrics))]).alias("v"))
     rows = groups.groupBy(*by_cols, row_key.alias("row_key")).agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    rows = rows.join(keys, list(by))
+    rows = rows.join(keys, on)
     zero = F.array(*[F.lit(0.0)] * len(metrics))
     cells = F.flatten(F.transform("_keys", lambda k: F.coalesce(F.try_element_at("_m", k), zero)))
-    return headers, rows.select(*by_cols, "row_key", cells.alias("cells"))
+    rows = rows.select(*by_cols, "row_key", cells.alias("cells"))
+    if not some_broad:
+        return headers, rows
+    long = every.join(broad, on, "left_semi")
+    key = F.array_join(column_key, KEY_SEPARATOR)
+    each = [
+        F.struct(F.concat(row_key, F.array(key, F.lit(metric_name(f, a)))).alias("row_key"), F.array(f"_m{i}").alias("cells"))
+        for i, (f, a) in enumerate(metrics)
+    ]
+    long = long.select(*by_cols, F.explode(F.array(*each)).alias("_row")).select(*by_cols, "_row.row_key", "_row.cells")
+    titles = [*_row_names(spec), PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER]
+    long_headers = broad.select(*by_cols, F.array(*[F.lit(t) for t in titles]).alias("header"))
+    return headers.unionByName(long_headers), rows.unionByName(long)

@@ -70,7 +70,7 @@ def export(
     plan = materialize(plan, "manifest")
 
     if sheets:
-        write_workbooks(_sheet_rows(rows, plan, source, spec, bases, cap), path)
+        write_workbooks(_sheet_rows(rows, plan, source, spec, bases, cap, workbook_rows), path)
     else:
         names = plan.select(SOURCE_FILE, DEST_FILE, "file_name")
         named = rows.join(names, [SOURCE_FILE, DEST_FILE])
@@ -92,7 +92,13 @@ def export(
 
 
 def _sheet_rows(
-    rows: DataFrame, plan: DataFrame, source: DataFrame, spec: ExportSpec, bases: DataFrame, cap: int
+    rows: DataFrame,
+    plan: DataFrame,
+    source: DataFrame,
+    spec: ExportSpec,
+    bases: DataFrame,
+    cap: int,
+    workbook_rows: int,
 ) -> DataFrame:
     """Header and data rows of all sheets, the pivot's included."""
     fields = [f for f in rows.schema.fields if f.name not in ENGINE_COLUMNS]
@@ -113,14 +119,13 @@ def _sheet_rows(
     placed = placed.join(plan.select(*keys, *where), keys)
     out = out.unionByName(placed.select(*where, "sheet_row", text, cells.alias("cells")))
     if spec.pivot:
-        out = out.unionByName(_pivot_sheets(source, plan, spec, bases, cap))
+        out = out.unionByName(_pivot_sheets(source, plan, spec, bases, cap, workbook_rows))
     return out
 
 
-def _pivot_sheets(source: DataFrame, plan: DataFrame, spec: ExportSpec, bases: DataFrame, cap: int) -> DataFrame:
-    """The pivot of each source: a further sheet of its workbook, or a workbook when split to files."""
-    pivot, title = spec.pivot, spec.pivot_label
-    header, rows = pivot_grid(source, pivot, spec.filter_column, spec.filter_values)
+def _pivot_rows(source: DataFrame, spec: ExportSpec, cap: int) -> DataFrame:
+    """Header and body rows of each source's pivot: ``source_file, _part, sheet_row, text_cells, cells``."""
+    header, rows = pivot_grid(source, spec.pivot, spec.filter_column, spec.filter_values)
     rows = number_rows(with_row_id(rows, [SOURCE_FILE, "row_key"]), "_n", [SOURCE_FILE])
     part = F.floor((F.col("_n") - 1) / cap)
     texts = F.transform(
@@ -139,9 +144,49 @@ def _pivot_sheets(source: DataFrame, plan: DataFrame, spec: ExportSpec, bases: D
         SOURCE_FILE, "_part", F.lit(1).cast("long").alias("sheet_row"), F.lit(None).cast("int").alias("text_cells"),
         F.col("header").alias("cells"),
     )
+    return tops.unionByName(body)
+
+
+def write_pivot(
+    df: DataFrame,
+    pivot: PivotSpec,
+    path: str,
+    file_name: str,
+    filter_column: str = "",
+    filter_values: Sequence[str] = (),
+    cap: int = DATA_ROWS,
+) -> None:
+    """Write the pivot of a table as a workbook of its own below ``path``.
+
+    The wide form, or the long one where it has too many columns; further sheets after ``cap`` rows.
+    """
+    spec = ExportSpec(pivot=pivot, filter_column=filter_column, filter_values=filter_values)
+    rows = _pivot_rows(df.withColumn(SOURCE_FILE, F.lit("")), spec, cap)
+    further = F.concat(F.lit(f"{spec.pivot_label}_"), F.col("_part"))
+    sheets = rows.select(
+        F.lit(file_name).alias("file_name"),
+        (F.col("_part") + 1).alias("sheet_no"),
+        F.when(F.col("_part") == 0, spec.pivot_label).otherwise(further).alias("sheet_name"),
+        "sheet_row",
+        "text_cells",
+        "cells",
+    )
+    write_workbooks(sheets, path)
+
+
+def _pivot_sheets(
+    source: DataFrame, plan: DataFrame, spec: ExportSpec, bases: DataFrame, cap: int, workbook_rows: int
+) -> DataFrame:
+    """The pivot of each source: a further sheet of its workbook, or a workbook when split to files.
+
+    Sheets past ``workbook_rows`` rows of a pivot go on in workbooks of their own.
+    """
+    title = spec.pivot_label
+    rows = _pivot_rows(source, spec, cap)
     if spec.file_split_column:
         place = bases.select(
             SOURCE_FILE,
+            "base_name",
             F.concat("base_name", F.lit(f"_{title}.xlsx")).alias("file_name"),
             F.lit(0).cast("long").alias("_last"),
             F.lit(0).cast("long").alias("_taken"),
@@ -159,16 +204,18 @@ def _pivot_sheets(source: DataFrame, plan: DataFrame, spec: ExportSpec, bases: D
         empty = F.concat("base_name", F.lit(".xlsx"))
         place = bases.join(place, SOURCE_FILE, "left").select(
             SOURCE_FILE,
+            "base_name",
             F.coalesce("file_name", empty).alias("file_name"),
             F.coalesce("_last", F.lit(0)).alias("_last"),
             F.coalesce("_taken", F.lit(0)).alias("_taken"),
         )
     index = F.col("_taken") + F.col("_part")
+    book = F.floor(F.col("_part") * (cap + 1) / workbook_rows) + 1
+    next_book = F.concat("base_name", F.lit(".part"), book, F.lit(f"_{title}.xlsx"))
     return (
-        tops.unionByName(body)
-        .join(place, SOURCE_FILE)
+        rows.join(place, SOURCE_FILE)
         .select(
-            "file_name",
+            F.when(book > 1, next_book).otherwise(F.col("file_name")).alias("file_name"),
             (F.col("_last") + F.col("_part") + 1).alias("sheet_no"),
             F.when(index == 0, title).otherwise(F.concat(F.lit(f"{title}_"), index)).alias("sheet_name"),
             "sheet_row",

@@ -9,7 +9,7 @@ import pytest
 import model
 from rowforge.columns import ROW_ID, SOURCE_FILE
 from rowforge.operators import filter_in, forecast, shape
-from rowforge.plans.export import export, export_batch
+from rowforge.plans.export import export, export_batch, write_pivot
 from rowforge.plans.spec import ExportSpec, PivotSpec
 from rowforge.sinks.csv import write_csv
 
@@ -268,6 +268,44 @@ def test_pivot_sheet_avoids_taken_name(spark, tmp_path):
     assert list(read_workbook(f"{out}/{name}")) == ["Сводная таблица", "сводная таблица_4", "Сводная таблица_5"]
 
 
+def test_pivot_with_too_many_columns_is_long(spark, tmp_path, monkeypatch):
+    rows = [("a.csv", i, f"r{i % 2}", f"c{i}", str(i)) for i in range(5)] + [("b.csv", i, "r", f"c{i}", "1") for i in range(2)]
+    df = spark.createDataFrame(rows, "source_file string, row_id long, k string, s string, b string")
+    monkeypatch.setattr("rowforge.operators.pivot.pivot_grid.__defaults__", ("", (), ("source_file",), 3))
+    out = str(tmp_path / "o")
+    with pytest.warns(UserWarning, match="long form"):
+        export(df, ExportSpec(pivot=PIVOT, selected_columns=("k", "b"), deduplicate_rows=False), out, "r")
+    sheets = read_workbook(f"{out}/a (conver_r).xlsx")
+    assert len(sheets["Все проекты"]) == 6
+    header, *body = sheets["Сводная таблица"]
+    assert header == ["k", "Колонка", "Метрика", "Значение"]
+    assert [r[:3] for r in body[:2]] == [["r0", "c0", "b_Количество"], ["r0", "c0", "b_Сумма"]] and len(body) == 10
+    assert [float(r[3]) for r in body[:2]] == [1.0, 0.0]
+    assert len(read_workbook(f"{out}/b_2 (conver_r).xlsx")["Сводная таблица"][0]) == 5
+
+
+def test_write_pivot(spark, tmp_path):
+    df = spark.createDataFrame([("x", "c", 1.0), ("y", "d", 2.5), ("x", "d", 4.0)], "k string, s string, b double")
+    write_pivot(df, PIVOT, str(tmp_path / "o"), "p.xlsx", "k", ["x", "y"], cap=1)
+    sheets = read_workbook(str(tmp_path / "o" / "p.xlsx"))
+    assert list(sheets) == ["Сводная таблица", "Сводная таблица_1"]
+    first, second = sheets.values()
+    assert first[0] == second[0] and [first[1][0], second[1][0]] == ["x", "y"]
+    assert [float(c) for c in first[1][1:]] == [1.0, 1.0, 4.0, 1.0] and [float(c) for c in second[1][1:]] == [0.0, 0.0, 2.5, 1.0]
+
+
+def test_pivot_sheets_past_a_workbook_go_on_in_the_next(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", "c", 1.0) for i in range(5)], "k string, s string, b double")
+    out = str(tmp_path / "o")
+    export(df, ExportSpec(pivot=PIVOT, file_split_column="s"), out, "r", cap=2, workbook_rows=6)
+    sheets = {name: list(read_workbook(f"{out}/{name}")) for name in sorted(os.listdir(out)) if "Сводная" in name}
+    title = "Сводная таблица"
+    assert sheets == {
+        f"export (conver_r)_{title}.xlsx": [title, f"{title}_1"],
+        f"export (conver_r).part2_{title}.xlsx": [f"{title}_2"],
+    }
+
+
 def test_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
