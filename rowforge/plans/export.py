@@ -17,7 +17,7 @@ from ..operators.numbering import number_rows, with_row_id
 from ..operators.pivot import metric_name, pivot_grid, pivot_long
 from ..operators.shape import destinations, shape, with_source
 from ..runtime import materialize
-from ..sinks.csv import write_csv, write_parquet
+from ..sinks.csv import write_csv, write_csv_headers, write_parquet
 from ..sinks.workbook import write_workbooks
 from ..sources.delimited import read_batch
 from ..sources.profile import escape_glob, profile_files, text_lines
@@ -41,7 +41,7 @@ def export(
     """Write all outputs of a job below ``path`` and return the manifest, one row per sheet or file.
 
     Rows keep input order, or the order of ``order_by``. ``bases`` gives the base name per source
-    file; without it the names follow from the sources at hand. With ``mode="overwrite"`` CSV and
+    file, those without rows included; without it the names follow from the sources at hand. With ``mode="overwrite"`` CSV and
     parquet outputs replace what ``path`` holds; workbooks replace those of the same name.
     """
     df = without_output_names(df)
@@ -57,9 +57,12 @@ def export(
         # Naming and writing both start from here; the duplicates are removed once.
         rows = materialize(rows, "rows")
     counts = materialize(destinations(rows), "destinations")
+    # Without a split, a source of which no row is left has an output of its header alone.
+    bare = spec.output_format == "csv" and not spec.file_split_column
     if bases is None and typed:
         bases = single_base_name(df.sparkSession, run_id)
     elif bases is None:
+        bare = False
         # A pivot also needs the sources of which no row is left.
         bases = materialize(base_names(source if spec.pivot else counts, run_id), "bases")
     sheets = spec.output_format == "xlsx"
@@ -76,6 +79,11 @@ def export(
         named = rows.join(names, [SOURCE_FILE, DEST_FILE])
         write = write_csv if extension == "csv" else write_parquet
         write(named, path, mode=mode)
+        if bare:
+            empty = bases.join(plan, SOURCE_FILE, "left_anti").select(SOURCE_FILE, F.concat("base_name", F.lit(".csv")).alias("file_name"))
+            write_csv_headers(empty.select("file_name"), rows, path)
+            nothing = [F.lit("").alias(DEST_FILE), F.lit("").alias(DEST_SHEET), F.lit(1).alias("sheet_part"), F.lit(0).cast("long").alias("n_rows")]
+            plan = plan.unionByName(empty.select("*", *nothing), allowMissingColumns=True)
         if spec.pivot:
             write(_pivot_csv(source, spec, bases), path, mode="append")
     name = F.col("sheet_name") if sheets else F.lit(None).cast("string")
@@ -285,7 +293,8 @@ def export_batch(
     while tables:
         table = tables.pop(0)
         try:
-            part = export(table.df, spec, path, run_id, bases=bases, mode=mode, **options)
+            own = spark.createDataFrame([(f,) for f in table.files], f"{SOURCE_FILE} string")
+            part = export(table.df, spec, path, run_id, bases=bases.join(own, SOURCE_FILE, "left_semi"), mode=mode, **options)
             mode = "append"
         except Exception as failure:  # one table must not stop the others
             broken = _unreadable(spark, table.files)

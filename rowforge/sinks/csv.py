@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..columns import ENGINE_COLUMNS, ROW_ID, col, label
 from ..functions import as_text
@@ -64,6 +65,14 @@ def write_csv(df: DataFrame, path: str, crlf: bool = False, mode: str = "errorif
     writer.csv(path)
 
 
+def write_csv_headers(files: DataFrame, like: DataFrame, path: str, crlf: bool = False) -> None:
+    """Outputs of header alone for ``files`` (``file_name``), with the columns of ``like``."""
+    names = list(output_names(like).values())
+    titles = [F.lit(BOM + text if i == 0 else text).alias(f"_c{i}") for i, text in enumerate(names)]
+    options = csv_options(len(names), crlf) | {"header": "false"}
+    files.select(FILE_NAME, *titles).write.mode("append").options(**options).partitionBy(FILE_NAME).csv(path)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The same outputs as parquet, for further processing at scale."""
     names = [col(c).alias(text) for c, text in output_names(df).items()]

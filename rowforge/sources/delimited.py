@@ -93,7 +93,7 @@ def read_dialect(
     paths = [escape_glob(f) for f in files]
     if splittable:
         lines = text_lines(spark, paths)
-        text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if fallback else F.col("value")
+        text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if fallback else F.make_valid_utf8("value")
         first = lines.filter("block = 0").groupBy(SOURCE_FILE).agg(F.min("seq").alias("_first"))
         body = lines.join(first, SOURCE_FILE).filter(F.col("seq") != F.col("_first"))
         if not keep_blank_rows:

@@ -69,8 +69,10 @@ def whole_cells(value: Column, delimiter: str) -> Column:
 def profile_files(spark: SparkSession, paths: Sequence[str], skip_unreadable: bool = False) -> DataFrame:
     """One row per file: ``source_file, encoding, delimiter, header_line, splittable, error``.
 
-    The whole file decides whether it is UTF-8. A UTF-8 mark is taken off by the scan, so such files
-    count as utf-8. Files without a line have an error instead of a header.
+    The whole file decides whether it is UTF-8: it is if no line speaks against it, or if fewer lines do than
+    there are lines with well-formed characters of several bytes (a few broken bytes then become U+FFFD). A
+    UTF-8 mark is taken off by the scan, so such files count as utf-8. Files without a line have an error
+    instead of a header.
     """
     unreadable = {"ignoreCorruptFiles": "true"} if skip_unreadable else {}
     lines = text_lines(spark, paths, **unreadable)
@@ -81,9 +83,12 @@ def profile_files(spark: SparkSession, paths: Sequence[str], skip_unreadable: bo
         issues = issues + F.when(whole_cells(value, d), 0).otherwise(2 << i)
     # Most lines of a long file say nothing and end here. The set holds 16 numbers at most; it also
     # makes this a hash aggregate, where the first line as text alone would cost a sort of the lines.
-    telling = lines.withColumn("_issues", issues).filter("block = 0 OR _issues <> 0")
+    several = F.is_valid_utf8(value) & (F.octet_length(value) > F.length(value))
+    telling = lines.withColumns({"_issues": issues, "_several": several}).filter("block = 0 OR _issues <> 0 OR _several")
     found = telling.groupBy(SOURCE_FILE).agg(
-        _first_line(value.cast("binary")).alias("head"), F.collect_set("_issues").alias("_issues")
+        _first_line(value.cast("binary")).alias("head"),
+        F.collect_set("_issues").alias("_issues"),
+        (F.count_if(F.col("_issues").bitwiseAND(F.lit(1)) != 0) < F.count_if("_several")).alias("_mostly"),
     )
 
     def free_of(bit: int) -> Column:
@@ -92,7 +97,7 @@ def profile_files(spark: SparkSession, paths: Sequence[str], skip_unreadable: bo
     found = found.select(
         SOURCE_FILE,
         "head",
-        free_of(1).alias("valid"),
+        (free_of(1) | F.col("_mostly")).alias("valid"),
         *[free_of(2 << i).alias(f"whole{i}") for i in range(len(DELIMITERS))],
     )
     marks = F.lower(F.hex(F.substring("head", 1, 4)))

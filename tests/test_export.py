@@ -10,6 +10,7 @@ import model
 from rowforge.columns import ROW_ID, SOURCE_FILE
 from rowforge.operators import filter_in, forecast, shape
 from rowforge.plans.export import export, export_batch, write_pivot
+from rowforge.runtime import scratch_dir, scratch_scope
 from rowforge.plans.spec import ExportSpec, PivotSpec
 from rowforge.sinks.csv import write_csv
 
@@ -306,6 +307,34 @@ def test_pivot_sheets_past_a_workbook_go_on_in_the_next(spark, tmp_path):
     }
 
 
+def test_unsplit_csv_without_rows_has_a_header(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "one.csv").write_text("k;v\nx;1\n", encoding="utf-8")
+    (src / "two.csv").write_text("k;v\ny;2\n", encoding="utf-8")
+    (src / "three.csv").write_text("k;w\n", encoding="utf-8")
+    spec = ExportSpec(output_format="csv", filter_column="k", filter_values=("x",))
+    manifest = export_batch(spark, str(src), spec, str(tmp_path / "o"), "r").collect()
+    assert {m.file_name: m.n_rows for m in manifest} == {"one (conver_r).csv": 1, "three_2 (conver_r).csv": 0, "two_3 (conver_r).csv": 0}
+    outputs = read_csv_outputs(str(tmp_path / "o"))
+    assert outputs == {"one (conver_r).csv": [["k", "v"], ["x", "1"]], "three_2 (conver_r).csv": [["k", "w"]], "two_3 (conver_r).csv": [["k", "v"]]}
+    df = spark.createDataFrame([("y", 1)], "k string, v int")
+    export(df, spec, str(tmp_path / "t"), "r")
+    assert read_csv_outputs(str(tmp_path / "t")) == {"export (conver_r).csv": [["k", "v"]]}
+
+
+def test_scratch_scope_deletes_what_jobs_store(spark, tmp_path):
+    base = scratch_dir(spark, "any").rsplit("/", 1)[0].removeprefix("file:")
+    os.makedirs(base, exist_ok=True)
+    before = set(os.listdir(base))
+    df = spark.createDataFrame([("y", 1)], "k string, v int")
+    with scratch_scope(spark):
+        export(df, ExportSpec(output_format="csv", file_split_column="k"), str(tmp_path / "o"), "r")
+        assert set(os.listdir(base)) > before
+    assert set(os.listdir(base)) == before
+    assert read_csv_outputs(str(tmp_path / "o"))
+
+
 def test_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

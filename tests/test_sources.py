@@ -241,3 +241,13 @@ def test_columns_that_differ_in_case_stay_apart(spark, tmp_path):
     labels = [f.metadata.get("label") for f in df.schema.fields if "label" in f.metadata]
     assert labels == ["a", "A", "b"]
     assert sorted(str(tuple(r)[2:]) for r in df.collect()) == ["('1', '2', None)", "(None, '3', '4')"]
+
+
+def test_a_broken_byte_leaves_a_file_utf8(spark, tmp_path):
+    good = "имя;город\nпривет;мир\nещё;раз\n".encode()
+    (tmp_path / "mostly.csv").write_bytes(good + b"a\xff;b\n")
+    (tmp_path / "older.csv").write_bytes("имя;город\nпривет;a\nabc;d\n".encode("cp1251"))
+    found = {os.path.basename(r.source_file): r.encoding for r in profile_files(spark, [str(tmp_path)]).collect()}
+    assert found == {"mostly.csv": "utf-8", "older.csv": "windows-1251"}
+    rows = read_delimited(spark, str(tmp_path / "mostly.csv")).orderBy("row_id").collect()
+    assert [tuple(r)[2:] for r in rows] == [("привет", "мир"), ("ещё", "раз"), ("a\ufffd", "b")]
