@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -32,17 +32,24 @@ MOST_PIVOTS = 65_536
 _BLOCK = 192
 
 
-def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
-    """SimHash of the word shingles of a text, lower-cased in A-Z; 0 without words."""
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, lower-cased in A-Z, as big-endian longs; a short text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=">u8")
     if len(words) < words_in_shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(words_in_shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], dtype=">u8")
+    return np.array([digest(s, 42) for s in shingles], dtype=">u8")
+
+
+def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
+    """SimHash of the word shingles of a text, lower-cased in A-Z; 0 without words."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1)
@@ -290,22 +297,31 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, words_in_shingle: int = 5) -> DataFrame:
-    """One document of each group of near duplicates: the smallest key, then the smallest text hash.
-
-    Null keys come last. Rows with the same key and text are one document and leave one row. Columns are
-    those of ``docs``.
-    """
-    keys = [
+def document_keys(docs: DataFrame) -> list[Column]:
+    """What tells documents apart: the key, whether it is null, and the hash of the text."""
+    return [
         F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_key"),
         docs["doc_id"].isNull().alias("_none"),
         F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("_hash"),
     ]
-    found = _grouped(docs.select(*keys, docs["text"]), max_distance, words_in_shingle, "text", "_key")
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``_root`` of ``found``, which has the document keys."""
     best = F.min(F.struct("_none", "_key", "_hash")).alias("best")
     kept = materialize(found.groupBy("_root").agg(best).select("best.*"), "kept")
-    same = docs.select("*", *keys).join(kept, ["_none", "_key", "_hash"], "left_semi")
+    same = docs.select("*", *document_keys(docs)).join(kept, ["_none", "_key", "_hash"], "left_semi")
     # The join leaves the rows dealt and sorted by these keys, so the window needs no exchange.
     place = F.row_number().over(Window.partitionBy("_none", "_key", "_hash").orderBy(F.lit(0)))
     first = same.withColumn("_place", place).filter("_place = 1")
     return first.select(*[column(first, c) for c in docs.columns])
+
+
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, words_in_shingle: int = 5) -> DataFrame:
+    """One document of each group of near duplicates: the smallest key, then the smallest text hash.
+
+    Null keys come last. Rows with the same key and text are one document and leave one row. Columns are
+    those of ``docs``.
+    """
+    found = _grouped(docs.select(*document_keys(docs), docs["text"]), max_distance, words_in_shingle, "text", "_key")
+    return first_of_groups(docs, found)
