@@ -113,6 +113,18 @@ def co_train(text: Rows, meta: Rows, label: np.ndarray, rounds: int = ROUNDS) ->
     return CoModel(fitted[0][0], fitted[1][0], head)
 
 
+def draw(docs: DataFrame, labels: DataFrame, max_rows: int, max_pool: int) -> DataFrame:
+    """``_id`` and ``_label`` of the rows to train on: sampled labels, and -1 for documents without any label.
+
+    An id whose label the sample leaves out is known all the same and never counts as unlabelled.
+    """
+    marked = materialize(label_sample(labels, "quality", max_rows), "quality-sample")
+    known = labels.filter(F.col("quality").cast("int").isin(0, 1)).select(F.col("doc_id").alias("_id"))
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    free = ids.join(known, "_id", "left_anti").orderBy(F.xxhash64(F.lit("pool"), "_id"), "_id")
+    return marked.unionByName(free.limit(max_pool).withColumn("_label", F.lit(-1)))
+
+
 def learn_quality_views(
     docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pool: int = MAX_POOL
 ) -> CoModel:
@@ -120,11 +132,7 @@ def learn_quality_views(
 
     Labels of one class give that class to every document; no labels give one half.
     """
-    marked = materialize(label_sample(labels, "quality", max_rows), "quality-sample")
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    pool = ids.orderBy(F.xxhash64(F.lit("pool"), "_id"), "_id").limit(max_pool)
-    pool = pool.join(marked, "_id", "left_anti").withColumn("_label", F.lit(-1))
-    drawn = materialize(marked.unionByName(pool), "quality-drawn")
+    drawn = materialize(draw(docs, labels, max_rows, max_pool), "quality-drawn")
     plain = docs.select(F.col("doc_id").alias("_id"), "text", "source", "lang", F.col("n_chars").cast("long"))
     taken = plain.join(F.broadcast(drawn), "_id")  # at most max_rows + max_pool ids
 
