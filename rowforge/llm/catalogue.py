@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import curriculum, decontaminate, line_dedup
+from . import curriculum, decontaminate, hard_negatives, line_dedup, url_rules
 from .co_training import co_training_digest
 from .language import identify_language, learn_profiles
 from .common import fold_of
+from .periodic_runs import runs_digest
 from .pii import pii_digest
 from .quality_rules import quality_digest
 from .sharding import shard_digest
@@ -68,6 +69,18 @@ def op10_feistel_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_digest(read_table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.negatives_digest(read_table(spark, sf, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs_digest(read_table(spark, sf, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.url_digest(read_table(spark, sf, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -81,6 +94,9 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_decontamination,
         op10_feistel_sharding,
+        op11_hard_negatives,
+        op12_periodic_runs,
+        op13_url_filter,
     )
 }
 
@@ -88,4 +104,6 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.DIGEST_SQL,
     "op5_curriculum_mix": curriculum.DIGEST_SQL,
     "op9_decontamination": decontaminate.DIGEST_SQL,
+    "op11_hard_negatives": hard_negatives.DIGEST_SQL,
+    "op13_url_filter": url_rules.DIGEST_SQL,
 }
