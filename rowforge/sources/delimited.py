@@ -14,14 +14,13 @@ from ..operators.numbering import SLICE_BITS
 from ..runtime import pin_splits
 from .profile import (
     FALLBACK_ENCODING,
-    WIDE_ENCODINGS,
     escape_glob,
-    file_path,
     from_fallback,
     profile_files,
     text_lines,
     whole_cells,
 )
+from .records import batch_records, header_records
 
 # Row ids keep the block start in units of this many bits; blocks of a scan are far larger.
 BLOCK_BITS = 14
@@ -53,7 +52,7 @@ def _repaired(width: int, delimiter: str, fallback: bool) -> list[Column]:
     number of its cells follows; every other record is full.
     """
     raw = F.col(_RAW)
-    outside = F.regexp_replace(raw, f'(^|{delimiter})"(?:[^"]|"")*+"', "$1")
+    outside = F.regexp_replace(raw, f'(^|{delimiter})"(?:[^"]|"")*+(?:"|\\z)', "$1")
     present = F.length(outside) - F.length(F.replace(outside, F.lit(delimiter), F.lit(""))) + 1
     n_cells = F.when(raw.isNull(), F.lit(width)).otherwise(present)
     cells = []
@@ -72,11 +71,15 @@ def read_dialect(
     splittable: bool,
     keep_blank_rows: bool = True,
     mark_ragged: bool = False,
+    records: DataFrame | None = None,
 ) -> DataFrame:
     """Files of a known dialect and header, without a profile pass over them.
 
-    ``splittable`` promises that no quoted cell holds a line end; such files are read line by line, so that
-    empty lines (rows of absent cells, unless ``keep_blank_rows`` is off) and rows of empty cells stay.
+    ``splittable`` promises that no quoted cell holds a line end; such files are read line by line. Other files
+    are split among tasks as well, and lines that a quoted cell spans are put together. Either way empty lines
+    outside quotes are rows of absent cells, unless ``keep_blank_rows`` is off, and rows of empty cells stay.
+    A cell must fit into memory; one that is never closed takes the rest of its file. ``records`` may hand in
+    the records of those other files.
     """
     pin_splits(spark)
     width = len(headers)
@@ -90,40 +93,31 @@ def read_dialect(
         "maxColumns": str(max(20480, 4 * width)),
     }
     fallback = encoding == FALLBACK_ENCODING
-    paths = [escape_glob(f) for f in files]
     if splittable:
-        lines = text_lines(spark, paths)
+        lines = text_lines(spark, [escape_glob(f) for f in files])
         text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if fallback else F.make_valid_utf8("value")
         first = lines.filter("block = 0").groupBy(SOURCE_FILE).agg(F.min("seq").alias("_first"))
         body = lines.join(first, SOURCE_FILE).filter(F.col("seq") != F.col("_first"))
-        if not keep_blank_rows:
-            body = body.filter(F.col("value") != "")
-        record = F.from_csv(text, F.lit(schema), options)
-        rows = body.select(SOURCE_FILE, "block", "seq", (F.col("value") == "").alias("_blank"), record.alias("_r"))
-        raw = F.when(F.col("_blank"), F.lit("")).otherwise(F.col(f"_r.{_RAW}"))
-        rows = rows.select(
-            SOURCE_FILE, "block", "seq", *[F.col(f"_r._c{i}").alias(f"_c{i}") for i in range(width)], raw.alias(_RAW)
-        )
-        blank = F.col(_RAW) == ""
     else:
-        charset = WIDE_ENCODINGS.get(encoding, "UTF-8")
-        options |= {
-            "header": "true",
-            "enforceSchema": "true",
-            "multiLine": "true",
-            "encoding": "ISO-8859-1" if fallback else ("UTF-32" if charset.startswith("UTF-32") else charset),
-        }
-        rows = spark.read.schema(schema).options(**options).csv(paths).select(
-            "*",
-            file_path().alias(SOURCE_FILE),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-        )
-        blank = None
+        text = F.col("value")
+        if records is None:
+            dialect = [F.lit(encoding).alias("encoding"), F.lit(delimiter).alias("delimiter")]
+            named = spark.createDataFrame([(f,) for f in files], f"{SOURCE_FILE} string").select(SOURCE_FILE, *dialect)
+            records = batch_records(spark, named)
+        own = records.filter(F.col(SOURCE_FILE).isin(*files))
+        body = own.join(header_records(own), SOURCE_FILE).filter(F.struct("block", "seq") > F.col("_first"))
+    if not keep_blank_rows:
+        body = body.filter(F.col("value") != "")
+    record = F.from_csv(text, F.lit(schema), options)
+    blank = F.col("value") == ""
+    rows = body.select(SOURCE_FILE, "block", "seq", blank.alias("_blank"), record.alias("_r"))
+    raw = F.when(F.col("_blank"), F.lit("")).otherwise(F.col(f"_r.{_RAW}"))
+    rows = rows.select(
+        SOURCE_FILE, "block", "seq", *[F.col(f"_r._c{i}").alias(f"_c{i}") for i in range(width)], raw.alias(_RAW)
+    )
+    blank = F.col(_RAW) == ""
     names = unique_physical_names(headers)
-    cells = _repaired(width, delimiter, fallback)
-    if blank is not None:
-        cells = [F.when(~F.coalesce(blank, F.lit(False)), c) for c in cells]
+    cells = [F.when(~F.coalesce(blank, F.lit(False)), c) for c in _repaired(width, delimiter, fallback)]
     return rows.select(
         SOURCE_FILE,
         _row_id(F.col("block"), F.col("seq")).alias(ROW_ID),
@@ -142,9 +136,8 @@ def read_batch(
 ) -> list[TextTable]:
     """The tables of a batch, one per dialect and header.
 
-    Empty lines are rows of absent cells unless ``keep_blank_rows`` is off; in files that cannot be split
-    they are lost. Files without quoted line ends are split among tasks; only the others, and
-    two- and four-byte encodings, are read whole per task.
+    Empty lines outside quotes are rows of absent cells unless ``keep_blank_rows`` is off. All files are split
+    among tasks; those with cells that span lines, and two- and four-byte encodings, take a shuffle for it.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if profile is None:
@@ -161,33 +154,35 @@ def read_batch(
         .agg(F.sort_array(F.collect_list(SOURCE_FILE)).alias("files"))
         .collect()
     )
+    # What is not read line by line goes through one plan, whatever its dialects and headers.
+    joined = [f for g in groups if not (g.splittable and g["_alone"] is None) for f in g.files]
+    records = None
+    starts: dict[str, str] = {}
+    if joined:
+        others = readable.filter(F.col(SOURCE_FILE).isin(*joined)).select(SOURCE_FILE, "encoding", "delimiter")
+        records = batch_records(spark, others)
+        alone = [g["_alone"] for g in groups if g["_alone"] is not None]
+        if alone:
+            heads = header_records(records.filter(F.col(SOURCE_FILE).isin(*alone)))
+            starts = {r[SOURCE_FILE]: r["header_text"] for r in heads.collect()}
     tables = []
     for g in sorted(groups, key=lambda g: g.files[0]):
-        if g["_alone"] is None:
-            headers = next(csv.reader([g.header_line], delimiter=g.delimiter))
-        else:
-            headers = _first_record(spark, g.files[0], g.encoding, g.delimiter)
-            if not headers:
-                continue
+        line = g.header_line
+        if g["_alone"] is not None:
+            line = starts.get(g["_alone"], "")
+            if g.encoding == FALLBACK_ENCODING:
+                line = line.encode("latin-1").decode(FALLBACK_ENCODING, errors="replace")
+        headers = next(csv.reader([line], delimiter=g.delimiter), [])
+        if not headers:
+            continue
         by_line = g.splittable and g["_alone"] is None
-        df = read_dialect(spark, g.files, g.encoding, g.delimiter, headers, by_line, keep_blank_rows, mark_ragged)
+        df = read_dialect(
+            spark, g.files, g.encoding, g.delimiter, headers, by_line, keep_blank_rows, mark_ragged, records
+        )
         tables.append(TextTable(df, tuple(headers), tuple(g.files), g.encoding, g.delimiter, by_line))
     return tables
 
 
-def _first_record(spark: SparkSession, file: str, encoding: str, delimiter: str) -> list[str]:
-    """Header of one file whose first record spans lines or follows blank ones."""
-    charset = WIDE_ENCODINGS.get(encoding, "ISO-8859-1" if encoding == FALLBACK_ENCODING else "UTF-8")
-    charset = "UTF-32" if charset.startswith("UTF-32") else charset
-    reader = spark.read.options(sep=delimiter, quote='"', escape='"', multiLine="true", encoding=charset)
-    row = reader.csv(escape_glob(file)).first()
-    cells = [c or "" for c in row or ()]
-    if encoding == FALLBACK_ENCODING:
-        table = str.maketrans({chr(i): bytes([i]).decode(encoding, errors="replace") for i in range(128, 256)})
-        cells = [c.translate(table) for c in cells]
-    return cells
-
-
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], **options: bool) -> DataFrame:
     """A batch as one table: columns matched by exact header text, a column a file lacks is absent in its rows."""
     tables = read_batch(spark, paths, **options)

@@ -4,9 +4,12 @@ import csv
 
 
 def read_rows(path, encoding, delimiter):
+    """Header and rows; an empty line is a row without cells. The header is the first row with a cell."""
     with open(path, encoding=encoding, errors="replace") as f:
-        rows = [row for row in csv.reader(f, delimiter=delimiter) if row]
-    header = [cell.removeprefix("﻿") if i == 0 else cell for i, cell in enumerate(rows[0])] if rows else []
+        rows = list(csv.reader(f, delimiter=delimiter))
+    while rows and not rows[0]:
+        rows.pop(0)
+    header = [cell.removeprefix("\ufeff") if i == 0 else cell for i, cell in enumerate(rows[0])] if rows else []
     return header, rows[1:]
 
 
