@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowforge.llm.curriculum import mix_documents
 from rowforge.llm.decontaminate import drop_contaminated
-from rowforge.llm.near_copies import drop_near_copies
 from rowforge.llm.sharding import shard_documents
+from rowforge.llm.simhash import drop_near_duplicates
 from rowforge.llm.toxicity import drop_toxic
 from rowforge.runtime import materialize
 from rowforge.sources.tables import read_table
@@ -18,7 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_near_duplicates(docs, max_distance=3, words_in_shingle=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

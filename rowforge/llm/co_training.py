@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..runtime import materialize
-from .common import column, label_sample, platt, sigmoid
+from .common import column, keeps_other_columns, label_sample, platt, sigmoid
 from .linear import FAMILIES, FAMILY, Rows, Words, features, fit_logistic, margin_of, shares
 
 #: Labelled rows, and documents without a label, that take part in training, at most.
@@ -184,6 +184,7 @@ def learn_quality_views(
     return model
 
 
+@keeps_other_columns
 def score_quality(docs: DataFrame, model: CoModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the text, with ``p_text``, ``p_meta``, ``score`` (all 0 to 1) and ``kept``.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,25 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def keeps_other_columns(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose own columns start with ``_``: such columns of the first argument come through unharmed.
+
+    They have other names while the operator works, unless an argument names them.
+    """
+
+    @wraps(function)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        named = {x for x in (*args, *options.values()) if isinstance(x, str)}
+        away = {c: f"#{i}" for i, c in enumerate(docs.columns) if c.startswith("_") and c not in named}
+        if not away:
+            return function(docs, *args, **options)
+        done = function(docs.select(*[column(docs, c).alias(away.get(c, c)) for c in docs.columns]), *args, **options)
+        back = {new: c for c, new in away.items()}
+        return done.select(*[column(done, c).alias(back.get(c, c)) for c in done.columns])
+
+    return run
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

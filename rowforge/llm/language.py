@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import column
+from .common import column, keeps_other_columns
 
 PROFILE = 400
 #: Most labelled documents of a language from which its profile is made, those with the smallest hashes.
@@ -187,6 +187,7 @@ def learn_profiles(docs: DataFrame, learn_from: Column, rows_per_language: int =
     return Profiles(lists)
 
 
+@keeps_other_columns
 def identify_language(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``docs`` without the text, with ``lang_pred``, ``score`` (0 to 1) and ``distance``.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import WORD, column
+from .common import WORD, column, keeps_other_columns
 
 #: Counters of the frequency table, which every task holds.
 SLOTS = 1 << 16
@@ -197,6 +197,7 @@ def line_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+@keeps_other_columns
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines taken out of the text. Lines without a word stay. Columns and rows
     stay as they are; a null text stays null."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import column, sigmoid
+from .common import column, keeps_other_columns, sigmoid
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "name")
 BASE_KINDS = 4
@@ -297,6 +297,7 @@ def learn_spans(docs: DataFrame, text: str = "text") -> SpanModel:
     return fit_spans({(r["kind"], tuple(r["vote"]), r["length"]): r["n"] for r in sums})
 
 
+@keeps_other_columns
 def find_personal_data(docs: DataFrame, model: SpanModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the text, with ``found``: structs of kind, start, end and whether it is a base span.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..runtime import materialize
-from .common import column, label_sample, labelled_texts, platt, sigmoid
+from .common import column, keeps_other_columns, label_sample, labelled_texts, platt, sigmoid
 from .linear import FAMILIES, FAMILY, Rows, Words, features, fit_logistic, margin_of, shares
 
 #: Labelled rows that teach the model, at most.
@@ -126,6 +126,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     return QualityModel(weights, head.get(-3, 4.0), head.get(-2, 1.0), head.get(-1, 0.0))
 
 
+@keeps_other_columns
 def judge_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the text, with the counts, ``base_failed``, ``probability`` and ``kept``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import position_rows
-from .common import column
+from .common import column, keeps_other_columns
 
 ROUNDS = 6
 
@@ -84,14 +84,16 @@ def shard_rows(df: DataFrame, order_by: list[Column | str], shards: int = 16, se
     def position(numbers: pd.Series) -> pd.Series:
         return pd.Series(permutation.forward(numbers.to_numpy(dtype=np.int64)))
 
-    placed = numbered.withColumn("_position", position("row_number"))
+    spare = next(n for n in ("_position" + "#" * i for i in range(len(df.columns) + 1)) if n not in df.columns)
+    placed = numbered.withColumn(spare, position("row_number"))
     return placed.select(
         *[column(placed, c) for c in numbered.columns],
-        F.pmod("_position", F.lit(shards)).cast("int").alias("shard"),
-        F.expr(f"_position div {shards}").alias("slot"),
+        F.pmod(column(placed, spare), F.lit(shards)).cast("int").alias("shard"),
+        F.expr(f"`{spare}` div {shards}").alias("slot"),
     )
 
 
+@keeps_other_columns
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """Whole documents with ``row_number``, ``shard`` and ``slot``, in an order that content alone fixes."""
     slim = docs.withColumn("_hash", F.xxhash64("text"))

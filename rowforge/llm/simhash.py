@@ -20,10 +20,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, NumericType, StructField, StructType
 
 from ..runtime import materialize
-from .common import column
+from .common import column, keeps_other_columns
 from .components import components
 
 #: Distinct fingerprints aimed at in a shard, and the most half values from which a tree is grown.
@@ -276,6 +276,7 @@ def _grouped(docs: DataFrame, max_distance: int, words_in_shingle: int, text: st
     return prints.join(materialize(members, "members"), "_fp")
 
 
+@keeps_other_columns
 def near_duplicates(
     docs: DataFrame, max_distance: int = 3, words_in_shingle: int = 3, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -285,7 +286,7 @@ def near_duplicates(
     one included. Null and blank texts have fingerprint zero and are linked like any other. A row with a
     null key takes part with its text; if no row reached has a key, the component is null. Repeated rows
     are kept. An empty table gives an empty result. Input columns named like the two added ones are
-    replaced; columns starting with ``_`` are reserved.
+    replaced.
     """
     names = [c for c in docs.columns if c not in (text, "fingerprint", "component_id")]
     slim = docs.select(*[column(docs, c) for c in names], column(docs, text))
@@ -298,9 +299,12 @@ def near_duplicates(
 
 
 def document_keys(docs: DataFrame) -> list[Column]:
-    """What tells documents apart: the key, whether it is null, and the hash of the text."""
+    """What tells documents apart: the key, whether it is null, and the hash of the text. Keys that are no numbers are texts."""
+    kind = docs.schema["doc_id"].dataType
+    key = docs["doc_id"] if isinstance(kind, NumericType) else docs["doc_id"].cast("string")
+    none = F.lit(0).cast(kind) if isinstance(kind, NumericType) else F.lit("")
     return [
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_key"),
+        F.coalesce(key, none).alias("_key"),
         docs["doc_id"].isNull().alias("_none"),
         F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("_hash"),
     ]
@@ -317,7 +321,8 @@ def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
     return first.select(*[column(first, c) for c in docs.columns])
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, words_in_shingle: int = 5) -> DataFrame:
+@keeps_other_columns
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, words_in_shingle: int = 3) -> DataFrame:
     """One document of each group of near duplicates: the smallest key, then the smallest text hash.
 
     Null keys come last. Rows with the same key and text are one document and leave one row. Columns are

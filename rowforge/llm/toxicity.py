@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..runtime import materialize
-from .common import column, fold_of, label_sample, labelled_texts, platt, sigmoid
+from .common import column, fold_of, keeps_other_columns, label_sample, labelled_texts, platt, sigmoid
 
 #: Labelled rows that teach the model, at most.
 MAX_ROWS = 12_000
@@ -210,6 +210,7 @@ def learn_toxicity(
     return FactorizationMachine(terms, values[0][0], body[:, 0], body[:, 1:], values[0][1], values[0][2])
 
 
+@keeps_other_columns
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, keep_text: bool = False) -> DataFrame:
     """``docs`` (without the text, unless ``keep_text``) with ``score`` and ``predicted``.
 
