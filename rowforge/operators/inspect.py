@@ -12,7 +12,7 @@ from ..functions import as_text, contains_ci, is_blank
 from ..plans.spec import ExportSpec
 from ..runtime import materialize
 from .filters import filter_in
-from .numbering import number_rows, position_rows, running, slice_of, with_row_id
+from .numbering import number_rows, position_rows, ranks, running, slice_of, with_row_id
 from .shape import shape
 
 # Pages that end by this row come from a top-k, a cheaper way to the same order.
@@ -98,6 +98,7 @@ def forecast_totals(counts: DataFrame) -> DataFrame:
 def page(df: DataFrame, number: int, size: int, order_by: Sequence[str] = ()) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows, in input order or by ``order_by``.
 
+    In input order every source file has pages of its own, as a search counts positions; by keys the table has.
     However deep the page is, only counts or keys are looked at for the whole table; whole rows are read
     once and only those of the page go on. Ties of ``order_by`` come in input order where rows have ids,
     else by a hash of the row, so that pages never repeat or skip a row.
@@ -107,22 +108,23 @@ def page(df: DataFrame, number: int, size: int, order_by: Sequence[str] = ()) ->
         return _page_by_keys(df, start, size, order_by)
     rows = with_row_id(df)
     by = [c for c in (SOURCE_FILE,) if c in rows.columns]
-    if start + size <= TOP_ROWS:
-        return rows.orderBy(*map(col, by), ROW_ID).offset(start).limit(size).select(*map(col, df.columns))
+    if not by and start + size <= TOP_ROWS:
+        return rows.orderBy(ROW_ID).offset(start).limit(size).select(*map(col, df.columns))
     blocks = rows.groupBy(*map(col, by), slice_of().alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per block of the input, so the window stays small.
-    earlier = Window.orderBy(*map(col, by), "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*map(col, by)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     blocks = blocks.filter((F.col("_before") < start + size) & (F.col("_before") + F.col("_n") > start))
     blocks = blocks.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slice").alias("_s"), "_before")
     match = slice_of() == F.col("_s")
     for i, c in enumerate(by):
         match = match & col(c).eqNullSafe(F.col(f"_k{i}"))
-    # Blocks that overlap the page: no more than rows of the page.
-    near = rows.join(F.broadcast(blocks), match)
+    # Blocks that overlap the page: for each source no more than rows of the page.
+    near = rows.join(blocks, match)
     place = Window.partitionBy(*[f"_k{i}" for i in range(len(by))], "_s").orderBy(ROW_ID)
     placed = near.withColumn("_pos", F.col("_before") + F.row_number().over(place) - 1)
-    return placed.filter(F.col("_pos").between(start, start + size - 1)).orderBy("_pos").select(*map(col, df.columns))
+    placed = placed.filter(F.col("_pos").between(start, start + size - 1))
+    return placed.orderBy(*map(col, by), "_pos").select(*map(col, df.columns))
 
 
 def _page_by_keys(df: DataFrame, start: int, size: int, order_by: Sequence[str]) -> DataFrame:
@@ -166,43 +168,25 @@ def search_rows(
 ) -> DataFrame:
     """0-based positions of the matching rows with their ``order_by`` columns.
 
-    Text tables keep input order by default and need no sort: a position is the number of rows in
-    earlier blocks plus the place in the block. For another order, the order columns and one flag are
-    stored first, so that sampling and sorting never touch the searched texts again.
+    Without ``order_by`` positions are those of the input order, counted in each source file, of the rows that
+    are there, whatever filters left out. They need no sort: see :func:`ranks`. For another order, the order
+    columns and one flag are stored first, so that sampling and sorting never touch the searched texts again.
     """
     order = list(order_by) or [c for c in (SOURCE_FILE, ROW_ID) if c in df.columns]
     hit = row_matches(df, text, column)
-    if not order_by and ROW_ID in df.columns:
-        blocks = _dense_blocks(df)
-        if blocks is not None:
-            by = [c for c in order if c != ROW_ID]
-            hits = df.filter(hit).select(*map(col, order), slice_of().alias("_slice"))
-            position = F.col("_before") + F.col(ROW_ID) - F.col("_first")
-            return hits.join(blocks, [*by, "_slice"]).select(position.alias("row_pos"), *map(col, order))
+    if not order_by:
+        return ranks(with_row_id(df), hit).select("row_pos", *map(col, order))
     narrow = materialize(df.select(*map(col, order), hit.alias("_hit")), "search")
     return position_rows(narrow, order).filter("_hit").select("row_pos", *map(col, order))
 
 
-def _dense_blocks(df: DataFrame) -> DataFrame | None:
-    """Rows before each block and its first row id, or None if rows are missing from a block."""
-    by = [c for c in (SOURCE_FILE,) if c in df.columns]
-    blocks = df.groupBy(*by, slice_of().alias("_slice")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(ROW_ID).alias("_first"), F.max(ROW_ID).alias("_last")
-    )
-    blocks = materialize(blocks, "blocks")
-    if not blocks.filter("_last - _first + 1 != _n").isEmpty():
-        return None
-    # A few numbers per block of the input; a source has as many rows here as it has blocks.
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    return blocks.withColumn("_before", before).drop("_n", "_last")
-
-
 def search_summary(
-    df: DataFrame, text: str, size: int, column: str | None = None, order_by: str = ""
+    df: DataFrame, text: str, size: int, column: str | None = None, order_by: str = "", per_source: bool = False
 ) -> DataFrame:
     """One row: number of matches and the page of the first one (NULL without matches).
 
+    ``per_source`` gives a row for each source file instead, with pages as :func:`page` counts them.
+
     ``order_by`` names one unique column. The first match is the smallest key among the matches, and
     its position is the number of smaller keys, so one pass over the texts and one over the keys do;
     nothing is sorted or shuffled. Without it, positions are those of the input order.
@@ -215,6 +199,12 @@ def search_summary(
     else:
         found = search_rows(df, text, column).agg(F.count(F.lit(1)).alias("n_matches"), F.min("row_pos").alias("_at"))
     first = F.when(F.col("n_matches") > 0, F.floor(F.col("_at") / size) + 1)
+    if per_source:
+        found = search_rows(df, text, column).groupBy(SOURCE_FILE)
+        found = found.agg(F.count(F.lit(1)).alias("_m"), F.min("row_pos").alias("_at"))
+        found = df.select(SOURCE_FILE).distinct().join(found, SOURCE_FILE, "left")
+        found = found.withColumn("n_matches", F.coalesce("_m", F.lit(0)))
+        return found.select(SOURCE_FILE, "n_matches", first.cast("long").alias("first_page"))
     return found.select("n_matches", first.cast("long").alias("first_page"))
 
 
