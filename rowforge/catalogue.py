@@ -60,6 +60,7 @@ from .runtime import materialize, scratch_dir
 from .sinks.csv import write_csv
 from .sources.delimited import profile_batch, read_delimited
 from .sources.tables import read_table
+from .streaming.events import drop_stream_duplicates, window_pivot
 from .streaming.landing import export_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -952,3 +953,148 @@ def prj_dependent_settings(spark: SparkSession, sf: str) -> DataFrame:
         deduplicate_rows=False,
     ).select(("o_custkey", "o_orderkey"))
     return shape(read_table(spark, sf, "orders"), spec).drop("source_file", "dest_file", "dest_sheet")
+
+
+# ---------------------------------------------------------------- blank rows, order and positions of text files
+
+
+def _notes_as_text(spark: SparkSession, sf: str, note: str) -> str:
+    """One-column text files of the orders, a folder of them for each of four parts; an absent note is an empty line."""
+    folder = scratch_dir(spark, "notes")
+    line = F.coalesce(F.expr(note), F.lit(""))
+    rows = read_table(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("part"), F.lit(1).alias("rank"), line.alias("line"))
+    headers = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("rank"), F.lit("note").alias("line"))
+    dealt = rows.unionByName(headers).repartition(4, "part").sortWithinPartitions("part", "rank")
+    dealt.select("part", "line").write.partitionBy("part").text(folder)
+    return folder
+
+
+_NOTE_SQL = "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus || '-' || o_orderkey END"
+
+
+@query(f"SELECT {_NOTE_SQL} AS note FROM orders")
+def src_blank_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Empty lines of files without a cell over lines are rows of absent cells."""
+    return read_delimited(spark, _notes_as_text(spark, sf, _NOTE_SQL)).select("note")
+
+
+_KEY_SQL = "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(o_orderkey AS {text}) END"
+_CELL_SQL = (
+    "CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN o_orderstatus || {feed} || {feed} || "
+    "o_orderpriority ELSE o_orderstatus END"
+)
+
+
+@query(f"SELECT {_KEY_SQL.format(text='VARCHAR')} AS k, {_CELL_SQL.format(feed='chr(10)')} AS cell FROM orders")
+def src_empty_rows_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of empty cells stay in files with cells over several lines, empty ones among them."""
+    cells = read_table(spark, sf, "orders").select(
+        F.expr(_KEY_SQL.format(text="STRING")).alias("k"), F.expr(_CELL_SQL.format(feed="char(10)")).alias("cell")
+    )
+    folder = scratch_dir(spark, "cells")
+    write_csv(cells, folder)
+    return read_delimited(spark, folder).select("k", "cell")
+
+
+_LONG_NOTE_SQL = "CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'a' || {feed} || {feed} || 'b' ELSE o_orderstatus END"
+
+
+@query(
+    "SELECT count(*) AS n_rows, count(note) AS n_notes, count(*) FILTER (contains(note, chr(10))) AS n_long FROM "
+    f"(SELECT {_LONG_NOTE_SQL.format(feed='chr(10)')} AS note FROM orders)"
+)
+def ins_count_rows_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of text files with empty lines between records and inside quoted cells."""
+    note = _LONG_NOTE_SQL.replace("'a'", "'\"a'").replace("'b'", "'b\"'").format(feed="char(10)")
+    back = read_delimited(spark, _notes_as_text(spark, sf, note))
+    rest = back.agg(F.count("note").alias("n_notes"), F.count_if(F.col("note").contains("\n")).alias("n_long"))
+    return count_rows(back).join(rest)
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders")
+def lay_scan_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of several typed files are numbered by path and place, whatever tasks read them."""
+    folder = scratch_dir(spark, "typed")
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    orders.repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(folder)
+    return number_rows(with_row_id(spark.read.parquet(folder))).select("o_orderkey", "o_totalprice", "row_no")
+
+
+def _events_as_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as text, a folder of files for each type, and each type's rows in the order of their ids."""
+    folder = scratch_dir(spark, "events")
+    events = read_table(spark, sf, "events").repartition(5, "event_type").sortWithinPartitions("event_type", "event_id")
+    events.write.partitionBy("event_type").options(header="true", escape='"').csv(folder)
+    return read_delimited(spark, folder)
+
+
+_EVENT_TYPE = "regexp_extract(source_file, 'event_type=([^/]*)/', 1) AS event_type"
+_PLACED_EVENTS = "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row_pos FROM events"
+
+
+@query(
+    f"SELECT event_type, row_pos, CAST(event_id AS VARCHAR) AS event_id FROM ({_PLACED_EVENTS}) WHERE contains(CAST(event_id AS "
+    "VARCHAR), '77') AND event_id % 2 = 1"
+)
+def ins_search_many_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions are counted in each file, over all of its rows."""
+    events = _events_as_csv(spark, sf)
+    found = search_rows(events, "77", "event_id").join(events.select("source_file", "row_id", "event_id"), ["source_file", "row_id"])
+    return found.filter("try_cast(event_id AS bigint) % 2 = 1").selectExpr(_EVENT_TYPE, "row_pos", "event_id")
+
+
+@query(
+    "SELECT event_type, CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, props FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS row_pos FROM events WHERE event_id % 3 <> 1) "
+    "WHERE row_pos BETWEEN 10 AND 19"
+)
+def ins_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of each file, of the rows that a filter left."""
+    kept = _events_as_csv(spark, sf).filter("try_cast(event_id AS bigint) % 3 <> 1")
+    return page(kept, 2, 10).selectExpr(_EVENT_TYPE, "event_id", "user_id", "props")
+
+
+# ---------------------------------------------------------------- streams of events
+
+
+def _event_stream(spark: SparkSession, folder: str, **options: int) -> DataFrame:
+    events = spark.readStream.schema(spark.read.parquet(folder).schema).options(**options).parquet(folder)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+
+
+def _arrived(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives in append mode until its files are done."""
+    out = scratch_dir(spark, "stream")
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_dir(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("SELECT event_id, ts, user_id, event_type, value FROM events")
+def st_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """All events arrive again in a second micro-batch: what the watermark has passed is late, the rest duplicates."""
+    folder = scratch_dir(spark, "sent")
+    events = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    for _ in range(2):
+        events.repartition(4).write.mode("append").parquet(folder)
+    sent = _event_stream(spark, folder, maxFilesPerTrigger=4)
+    once = _arrived(spark, drop_stream_duplicates(sent, ["event_id"], "ts", "1 day"))
+    return once.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_STREAM_TYPES = ("click", "error")
+
+
+@query(
+    "SELECT * FROM (SELECT time_bucket(INTERVAL '6 hours', ts) AS start, time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' AS "
+    "\"end\", "
+    + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in _STREAM_TYPES)
+    + f", count(*) FILTER (event_type NOT IN ({_q(*_STREAM_TYPES)}) OR event_type IS NULL) AS others FROM events GROUP BY ALL) WHERE "
+    "\"end\" <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)"
+)
+def st_window_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of six-hour windows that the watermark has passed."""
+    folder = scratch_dir(spark, "sent")
+    read_table(spark, sf, "events").select("ts", "event_type").repartition(4).write.parquet(folder)
+    counts = window_pivot(_event_stream(spark, folder), "ts", "6 hours", "1 hour", "event_type", _STREAM_TYPES)
+    return _arrived(spark, counts).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
