@@ -1,10 +1,17 @@
 """Quality scores by co-training of two views of a document.
 
-The text view is logistic regression on hashed word and character n-grams. The metadata view sees only
-what is known about the page: source, language, length and their pairs, never the text. Each round every
-view labels the unlabelled documents it is sure of for the other view's training set. Both are calibrated
-on labelled rows that training left out, and a small logistic model of the two calibrated log odds scores
-all documents.
+The text view sees hashed words, word pairs and runs of three bytes. The metadata view sees only what is known
+about the page: source, language, length and their pairs, never the text. Each view is a naive Bayes model, so
+all it learns from are sums per class, which any number of tasks can gather:
+
+1. Both views learn from all labelled documents but a held-out part, which calibrates them.
+2. In each round every document without a label is scored by both views. A view that is sure of one teaches
+   it to the other; views sure of opposite classes teach nothing. The next models come from the sums of
+   the labelled documents and of all that were taught, over the whole corpus.
+3. A small logistic model of the two calibrated log odds, fitted on held-out rows that calibration did not
+   use, scores all documents.
+
+Sums are whole numbers, so they do not depend on how the rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,167 +28,248 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..runtime import materialize
-from .common import column, keeps_other_columns, label_sample, platt, sigmoid
-from .linear import FAMILIES, FAMILY, Rows, Words, features, fit_logistic, margin_of, shares
+from .common import column, keeps_other_columns, platt, sigmoid
+from .linear import FAMILIES, FAMILY, Words, features, margin_of
 
-#: Labelled rows, and documents without a label, that take part in training, at most.
-MAX_ROWS = 4000
-MAX_POOL = 4000
+#: Held-out labelled documents that calibrate and combine the views, at most. All other labels are learned from.
+MAX_HELD = 4000
 ROUNDS = 3
-SURE = 0.95
-#: Share of the pool that a view labels in a round, at most.
-HANDED_OVER = 0.1
+#: Share of a class among held-out rows, with classes taken as equally frequent, from which on a view teaches.
+SURE = 0.9
 THRESHOLD = 0.5
 _META = 1 << 14
 _TEXT = FAMILY * FAMILIES
+#: What a document adds to its class in each family of the text view, and for each fact.
+_UNIT = 1 << 24
+#: Sums: text slots of class 0 and 1, facts of class 0 and 1, then documents by view and class.
+_SUMS = 2 * _TEXT + 2 * _META + 4
+_SMOOTHING = (0.1, 1.0)
 
 
 def metadata_slots(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
-    """Hashed features of a page: each known fact, and facts in pairs. Nulls are facts too."""
-    length = "?" if n_chars is None else str(max(0, int(n_chars)).bit_length())
-    facts = [f"s={source}", f"l={lang}", f"n={length}"]
+    """Hashed features of a page: each known fact, and facts in pairs. Nulls are facts of their own."""
+    length = None if n_chars is None else max(0, int(n_chars)).bit_length()
+    named = zip("sln", (source, lang, length), strict=True)
+    facts = [name if value is None else f"{name}={value}" for name, value in named]
     pairs = [f"{a}&{b}" for i, a in enumerate(facts) for b in facts[i + 1 :]]
     return [xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass"), 5) & (_META - 1) for f in facts + pairs]
 
 
-def _combine(logits: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Bias and weights of the two views' log odds; starts at their mean and stays near it without evidence."""
+def _combine(logits: np.ndarray, label: np.ndarray, prior: float) -> np.ndarray:
+    """Bias and weights of the two views' log odds.
+
+    Without evidence they are those of views that are independent within each class: both count whole, the prior
+    once. Each of them is worth ten rows.
+    """
     x = np.column_stack([np.ones(len(logits)), logits])
-    start = np.array([0.0, 0.5, 0.5])
+    start = np.array([-prior, 1.0, 1.0])
     w = start.copy()
-    for _ in range(40):
+    for _ in range(200):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - label) + 2.0 * (w - start)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 2.0 * np.eye(3)
-        step = np.linalg.solve(hessian, gradient)
+        gradient = x.T @ (p - label) + 10.0 * (w - start)
+        # A bound of the curvature in place of it: every step lowers the loss.
+        step = np.linalg.solve(x.T @ x / 4 + 10.0 * np.eye(3), gradient)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return np.array([w[0], max(w[1], 0.0), max(w[2], 0.0)])
 
 
+def sure_bounds(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Margins up to which, and from which on, a view is sure of class 0 and of class 1.
+
+    Among the held-out rows beyond a bound the class must have a share of SURE, with classes taken as equally
+    frequent and one more row of the other class than there is. A view that held-out rows do not bear out is
+    sure of nothing.
+    """
+    found = []
+    for sign, side in ((-1, 0), (1, 1)):
+        own, other = (np.sort(sign * margin[label == k]) for k in (side, 1 - side))
+        at = np.unique(own)
+        right = (len(own) - np.searchsorted(own, at)) / max(1, len(own))
+        wrong = (len(other) - np.searchsorted(other, at) + 1) / (len(other) + 1)
+        enough = at[right >= SURE * (right + wrong)]
+        found.append(sign * (enough[0] if len(enough) else np.inf))
+    return found[0], found[1]
+
+
 @dataclass
 class CoModel:
     text: np.ndarray
     meta: np.ndarray
-    #: Bias, slope and offset of the text view, then of the metadata view; then the combination.
+    #: Slope and offset of the text view, then of the metadata view; then the combination.
     head: np.ndarray
+    #: What each view is sure of, by its margin: class 0 up to the first, class 1 from the second on.
+    bounds: tuple[tuple[float, float], ...] = ((-np.inf, np.inf),) * 2
+
+    def logits(self, text_margin: np.ndarray, meta_margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = self.head
+        return h[0] * text_margin + h[1], h[2] * meta_margin + h[3]
 
     def views(self, text_margin: np.ndarray, meta_margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.logits(text_margin, meta_margin)
         h = self.head
-        a, b = h[1] * (text_margin + h[0]) + h[2], h[4] * (meta_margin + h[3]) + h[5]
-        return sigmoid(a), sigmoid(b), sigmoid(h[6] + h[7] * a + h[8] * b)
-
-
-def co_train(text: Rows, meta: Rows, label: np.ndarray, rounds: int = ROUNDS) -> CoModel:
-    """``label`` is 1, 0 or -1 (unknown)."""
-    known = np.flatnonzero(label >= 0)
-    held, seeds = known[4::5], np.setdiff1d(known, known[4::5])
-    if len(np.unique(label[seeds])) < 2 or len(np.unique(label[held])) < 2:
-        held = seeds = known
-    if len(np.unique(label[known])) < 2:
-        bias = 0.0 if not len(known) else 4.0 * float(np.sign(label[known[0]] - 0.5))
-        return CoModel(np.zeros(_TEXT), np.zeros(_META), np.array([bias, 1, 0, bias, 1, 0, 0, 0.5, 0.5]))
-    pool = np.flatnonzero(label < 0)
-    views = [text, meta]
-    sizes, rates = (_TEXT, _META), (2.0, 0.2)
-    taught = [label.astype(float).copy(), label.astype(float).copy()]
-    fitted: list = [None, None]
-    for step in range(rounds + 1):
+        return sigmoid(a), sigmoid(b), sigmoid(h[4] + h[5] * np.clip(a, -12, 12) + h[6] * np.clip(b, -12, 12))
+
+    def taught(self, text_margin: np.ndarray, meta_margin: np.ndarray) -> np.ndarray:
+        """Per view, the class it is taught by the other one: 1, 0, or -1 for none."""
         sure = []
-        for v in (0, 1):
-            use = np.concatenate([seeds, pool[taught[v][pool] >= 0]])
-            weights, bias = fit_logistic(views[v], taught[v], sizes[v], rate=rates[v], use=use, epochs=10)
-            margin = views[v].margins(weights, bias)
-            slope, offset = platt(margin[held], label[held].astype(float))
-            fitted[v] = (weights, bias, slope, offset, slope * margin + offset)
-            p = sigmoid(fitted[v][4][pool])
-            certain = np.flatnonzero((p >= SURE) | (p <= 1 - SURE))
-            certain = certain[np.argsort(-np.abs(p[certain] - 0.5), kind="stable")]
-            sure.append((pool[certain], p[certain] >= 0.5))
-        if step < rounds:
-            for v in (0, 1):
-                rows, positive = sure[1 - v]
-                new = taught[v][rows] < 0
-                rows, positive = rows[new], positive[new]
-                most = max(1, int(HANDED_OVER * len(pool) / 2))
-                for side in (True, False):
-                    chosen = rows[positive == side][:most]
-                    taught[v][chosen] = float(side)
-    logits = np.column_stack([np.clip(f[4], -12, 12) for f in fitted])
-    mixed = _combine(logits[held], label[held].astype(float))
-    head = np.array([*fitted[0][1:4], *fitted[1][1:4], *mixed])
-    return CoModel(fitted[0][0], fitted[1][0], head)
-
-
-def draw(docs: DataFrame, labels: DataFrame, max_rows: int, max_pool: int) -> DataFrame:
-    """``_id`` and ``_label`` of the rows to train on: sampled labels, and -1 for documents without any label.
-
-    An id whose label the sample leaves out is known all the same and never counts as unlabelled.
-    """
-    marked = materialize(label_sample(labels, "quality", max_rows), "quality-sample")
-    known = labels.filter(F.col("quality").cast("int").isin(0, 1)).select(F.col("doc_id").alias("_id"))
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    free = ids.join(known, "_id", "left_anti").orderBy(F.xxhash64(F.lit("pool"), "_id"), "_id")
-    return marked.unionByName(free.limit(max_pool).withColumn("_label", F.lit(-1)))
+        for margin, (low, high) in zip((text_margin, meta_margin), self.bounds, strict=True):
+            good, bad = margin >= high, margin <= low
+            sure.append(np.where(good & ~bad, 1, np.where(bad & ~good, 0, -1)))
+        opposed = (np.minimum(*sure) == 0) & (np.maximum(*sure) == 1)
+        return np.where(opposed, -1, np.stack([sure[1], sure[0]]))
 
 
-def learn_quality_views(
-    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pool: int = MAX_POOL
-) -> CoModel:
-    """Co-train on at most ``max_rows`` labelled documents and ``max_pool`` others, whole texts.
+def view_weights(labelled: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios of the classes' mean shares per slot, for the text view and the metadata view.
 
-    Labels of one class give that class to every document; no labels give one half.
+    Taught documents weigh as much as labelled ones of their class, and together at most as much as all of these.
+    """
+    made = []
+    for view, (size, start) in enumerate(((_TEXT, 0), (_META, 2 * _TEXT))):
+        means, documents = [], 0.0
+        for side in (0, 1):
+            at, count = slice(start + side * size, start + (side + 1) * size), _SUMS - 4 + 2 * view + side
+            own, other = float(labelled[count]), float(taught[count])
+            weight = min(1.0, own / other) if other else 0.0
+            total = max(own + weight * other, 1.0)
+            means.append((labelled[at] + weight * taught[at]) / _UNIT / total)
+            documents += total
+        least = _SMOOTHING[view] / documents
+        made.append(np.log((means[1] + least) / (means[0] + least)))
+    return made[0], made[1]
+
+
+def roles(labels: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
+    """``_id, _label, _seed, _held`` of all labelled ids; an id with several labels has the largest one.
+
+    A fifth of the ids by hash, at most ``max_held``, is held out; all others are seeds. If either part lacks a
+    class, all ids are seeds and held-out rows come from among them. Null ids and null labels teach nothing.
+    """
+    ids = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
+    ids = ids.filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).groupBy("_id").agg(F.max("_label").alias("_label"))
+    ids = materialize(ids, "quality-labels")
+    fifth = F.pmod(F.xxhash64(F.lit("held"), "_id"), F.lit(5)) == 0
+
+    def sampled(among: DataFrame) -> DataFrame:
+        return among.orderBy(F.xxhash64(F.lit("sample"), "_id"), "_id").limit(max_held).select("_id", F.lit(True).alias("_held"))
+
+    # The sample has at most max_held ids: a proven bound.
+    marked = ids.join(F.broadcast(sampled(ids.filter(fifth))), "_id", "left")
+    marked = marked.select("_id", "_label", F.col("_held").isNull().alias("_seed"), F.col("_held").isNotNull().alias("_held"))
+    marked = materialize(marked, "quality-roles")
+    if marked.select("_held", "_label").distinct().count() == 4:
+        return marked
+    marked = ids.join(F.broadcast(sampled(ids)), "_id", "left")
+    marked = marked.select("_id", "_label", F.lit(True).alias("_seed"), F.col("_held").isNotNull().alias("_held"))
+    return materialize(marked, "quality-roles")
+
+
+def _margins(batch: pa.RecordBatch, model: CoModel, words: Words) -> Iterator[tuple[list[np.ndarray], list[int], float, float]]:
+    """Slots and margin of both views for rows that start with text, source, language and length."""
+    facts = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+    for t, fact in zip(batch.column(0), facts, strict=True):
+        data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+        text, meta = features(data, words.numbers(data.split()), words), metadata_slots(*fact)
+        yield text, meta, margin_of(text, model.text, 0.0), float(model.meta[meta].sum())
+
+
+def _gather(rows: DataFrame, model: CoModel) -> np.ndarray:
+    """The sums of all rows: by ``_label``, or where it is null by what the views teach each other.
+
+    Every task adds up its rows; at most _SUMS sums reach the driver, whatever the corpus.
     """
-    drawn = materialize(draw(docs, labels, max_rows, max_pool), "quality-drawn")
-    plain = docs.select(F.col("doc_id").alias("_id"), "text", "source", "lang", F.col("n_chars").cast("long"))
-    taken = plain.join(F.broadcast(drawn), "_id")  # at most max_rows + max_pool ids
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, sums = Words(), np.zeros(_SUMS, dtype=np.int64)
+        for batch in batches:
+            for (text, meta, a, b), label in zip(_margins(batch, model, words), batch.column(4).to_pylist(), strict=True):
+                sides = model.taught(np.array([a]), np.array([b]))[:, 0] if label is None else (label, label)
+                if sides[0] >= 0:
+                    for family in text:
+                        if len(family):
+                            slot, n = np.unique(family, return_counts=True)
+                            sums[sides[0] * _TEXT + slot] += n * _UNIT // len(family)
+                    sums[_SUMS - 4 + sides[0]] += 1
+                if sides[1] >= 0:
+                    np.add.at(sums, 2 * _TEXT + sides[1] * _META + np.array(meta), _UNIT)
+                    sums[_SUMS - 2 + sides[1]] += 1
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["at", "n"])
+
+    found = rows.select("text", "source", "lang", "n_chars", "_label").mapInArrow(run, "at int, n long")
+    found = found.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = np.zeros(_SUMS, dtype=np.int64)
+    sums[found["at"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
+    return sums
+
+
+def _held_margins(held: DataFrame, model: CoModel) -> pd.DataFrame:
+    """``id, label, late, text, meta`` of the held-out rows, of which there are MAX_HELD at most; by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            slot, value = [], []
-            for t in batch.column(1):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                s, v = shares(features(data, words.numbers(data.split()), words))
-                slot.append(s.astype(np.int32))
-                value.append(v.astype(np.float32))
-            facts = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
-            meta = [metadata_slots(*f) for f in facts]
+            scored = [(a, b) for _, _, a, b in _margins(batch, model, words)]
+            columns = [pa.array([s[i] for s in scored], pa.float64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(slot, pa.list_(pa.int32())),
-                    pa.array(value, pa.list_(pa.float32())),
-                    pa.array(meta, pa.list_(pa.int32())),
-                    batch.column(5),
-                ],
-                names=["id", "slot", "value", "meta", "label"],
+                [batch.column(4), batch.column(5), batch.column(6), *columns], names=["id", "label", "late", "text", "meta"]
             )
 
-    kind = plain.schema["_id"].dataType.simpleString()
-    encoded = taken.select("_id", "text", "source", "lang", "n_chars", "_label").mapInArrow(
-        encode, f"id {kind}, slot array<int>, value array<float>, meta array<int>, label int"
-    )
-
-    def train(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        text = Rows.of_lists(table.column("slot"), table.column("value"))
-        meta = Rows.of_lists(table.column("meta"), table.column("meta"))
-        meta.value = np.ones(len(meta.slot), dtype=np.float32)
-        made = co_train(text, meta, table.column("label").to_numpy())
-        parts = [(0, made.text), (1, made.meta), (2, made.head)]
-        part = np.concatenate([np.full(np.count_nonzero(w) if p < 2 else len(w), p) for p, w in parts])
-        at = np.concatenate([np.flatnonzero(w) if p < 2 else np.arange(len(w)) for p, w in parts])
-        weight = np.concatenate([w[np.flatnonzero(w)] if p < 2 else w for p, w in parts])
-        return pa.table({"part": pa.array(part.astype(np.int32)), "at": pa.array(at), "weight": pa.array(weight)})
-
-    # One group on purpose: max_rows + max_pool rows of _TEXT slots at most.
-    found = encoded.groupBy(F.lit(0).alias("all")).applyInArrow(train, "part int, at long, weight double").toPandas()
-    model = co_train(Rows.empty(), Rows.empty(), np.empty(0))
-    for part, target in enumerate((model.text, model.meta, model.head)):
-        own = found[found["part"] == part]
-        target[own["at"].to_numpy(dtype=np.int64)] = own["weight"].to_numpy()
+    kind = held.schema["_id"].dataType.simpleString()
+    rows = held.select("text", "source", "lang", "n_chars", "_id", "_label", "_late")
+    found = rows.mapInArrow(run, f"id {kind}, label int, late boolean, text double, meta double").toPandas()
+    return found.sort_values("id", ignore_index=True)
+
+
+def _calibrated(text: np.ndarray, meta: np.ndarray, held: DataFrame) -> CoModel:
+    """The views with slopes and offsets from one half of the held-out rows, combined on the other half."""
+    raw = CoModel(text, meta, np.array([1.0, 0, 1, 0, 0, 0.5, 0.5]))
+    rows = _held_margins(held, raw)
+    halves = [rows[~rows["late"]], rows[rows["late"]]]
+    if any(h["label"].nunique() < 2 for h in halves):
+        halves = [rows, rows]
+    first, second = halves
+    label = first["label"].to_numpy(dtype=float)
+    fits = [platt(first[v].to_numpy(dtype=float), label) for v in ("text", "meta")]
+    model = CoModel(text, meta, np.array([*fits[0], *fits[1], 0, 1, 1]))
+    model.bounds = tuple(sure_bounds(rows[v].to_numpy(dtype=float), rows["label"].to_numpy()) for v in ("text", "meta"))
+    prior = float(np.log((label.sum() + 1) / (len(label) - label.sum() + 1)))
+    logits = np.column_stack(model.logits(second["text"].to_numpy(dtype=float), second["meta"].to_numpy(dtype=float)))
+    model.head[4:] = _combine(np.clip(logits, -12, 12), second["label"].to_numpy(dtype=float), prior)
+    return model
+
+
+def learn_quality_views(docs: DataFrame, labels: DataFrame, max_held: int = MAX_HELD, rounds: int = ROUNDS) -> CoModel:
+    """Co-train on all labelled documents and all others, whole texts; only calibration is bounded.
+
+    Labels of one class give that class to every document; no labels give one half. Rows with an id that has a
+    label are never taught, rows without an id always may be; repeated rows count each, but a held-out id
+    calibrates once. Every round reads the corpus once; whether the labelled ids are broadcast is left to
+    Spark's size checks.
+    """
+    marked = roles(labels, max_held)
+    plain = docs.select(F.col("doc_id").alias("_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    blank = CoModel(np.zeros(_TEXT), np.zeros(_META), np.array([1.0, 0, 1, 0, 0, 0.5, 0.5]))
+    labelled = _gather(plain.join(marked.filter("_seed").select("_id", "_label"), "_id"), blank)
+    by_class = labelled[-4:-2]
+    if not by_class.all():
+        blank.head[4] = 4.0 * np.sign(by_class[1] - by_class[0])
+        return blank
+    held = plain.join(F.broadcast(marked.filter("_held").select("_id", "_label")), "_id")  # at most max_held ids
+    facts = ("text", "source", "lang", "n_chars")
+    held = held.groupBy("_id", "_label").agg(F.min(F.struct(*facts)).alias("row"))
+    late = F.pmod(F.xxhash64(F.lit("late"), "_id"), F.lit(2)) == 0
+    held = materialize(held.select("_id", "_label", late.alias("_late"), "row.*"), "quality-held")
+    pool = plain.join(marked.select("_id"), "_id", "left_anti").withColumn("_label", F.lit(None).cast("int"))
+    taught = np.zeros_like(labelled)
+    model = _calibrated(*view_weights(labelled, taught), held)
+    for _ in range(rounds):
+        before, taught = taught, _gather(pool, model)
+        if np.array_equal(before, taught):
+            break
+        model = _calibrated(*view_weights(labelled, taught), held)
     return model
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rowforge.llm import curriculum, decontaminate, language, line_dedup, pii, quality_rules, sharding, simhash, toxicity
 from rowforge.llm.catalogue import ORACLES, QUERIES
-from rowforge.llm.co_training import co_training_digest, draw
+from rowforge.llm.co_training import co_training_digest
 from rowforge.llm.common import fold_of
 from rowforge.llm.components import components
 
@@ -107,7 +107,7 @@ def groups_of(n, linked):
 def test_query_equals_sql(name, spark):
     made = QUERIES[name](spark, SMALL)
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     expected = con.execute(ORACLES[name])
     columns = sorted(c[0] for c in expected.description)
@@ -503,15 +503,6 @@ def test_learned_quality(spark):
     assert all(0 <= r[c] <= 1 for r in scored for c in ("score", "p_text", "p_meta"))
 
 
-def test_co_training_pool_has_no_labelled_document(spark):
-    frame = spark.range(300).select(F.col("id").alias("doc_id"))
-    marked = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(250, None)], "doc_id long, quality int")
-    drawn = draw(frame, marked, 50, 80).collect()
-    pool = {r["_id"] for r in drawn if r["_label"] == -1}
-    assert len(pool) == 80 and min(pool) >= 200 and len(drawn) == 130
-    assert {r["_id"] for r in draw(frame, marked, 50, 1000).collect() if r["_label"] == -1} == set(range(200, 300))
-
-
 def test_co_training_edges(docs, empty, labels):
     assert co_training_digest(docs, labels).count() == len(rows())
     assert co_training_digest(docs, labels.limit(0)).count() == len(rows())
