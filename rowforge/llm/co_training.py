@@ -44,6 +44,8 @@ _UNIT = 1 << 24
 #: Sums: text slots of class 0 and 1, facts of class 0 and 1, then documents by view and class.
 _SUMS = 2 * _TEXT + 2 * _META + 4
 _SMOOTHING = (0.1, 1.0)
+#: Bits of the filter that tells documents surely without a label; its table has a row for 64 of them.
+FILTER_BITS = 1 << 22
 
 
 def metadata_slots(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
@@ -111,14 +113,13 @@ class CoModel:
         h = self.head
         return sigmoid(a), sigmoid(b), sigmoid(h[4] + h[5] * np.clip(a, -12, 12) + h[6] * np.clip(b, -12, 12))
 
-    def taught(self, text_margin: np.ndarray, meta_margin: np.ndarray) -> np.ndarray:
-        """Per view, the class it is taught by the other one: 1, 0, or -1 for none."""
+    def taught(self, text_margin: float, meta_margin: float) -> tuple[int, int]:
+        """The class that each view is taught by the other one: 1, 0, or -1 for none."""
         sure = []
         for margin, (low, high) in zip((text_margin, meta_margin), self.bounds, strict=True):
             good, bad = margin >= high, margin <= low
-            sure.append(np.where(good & ~bad, 1, np.where(bad & ~good, 0, -1)))
-        opposed = (np.minimum(*sure) == 0) & (np.maximum(*sure) == 1)
-        return np.where(opposed, -1, np.stack([sure[1], sure[0]]))
+            sure.append(-1 if good == bad else int(good))
+        return (-1, -1) if sorted(sure) == [0, 1] else (sure[1], sure[0])
 
 
 def view_weights(labelled: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +167,24 @@ def roles(labels: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
     return materialize(marked, "quality-roles")
 
 
+def _split(plain: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with their role, stored, and those without a label; only the former are shuffled.
+
+    A bit table of fixed size passes most documents without a label by; the others meet the labels.
+    """
+    word, bit = "pmod(xxhash64(_id), {0}) div 64", "shiftleft(1L, cast(pmod(xxhash64(_id), 64) as int))"
+    word, bit = F.expr(word.format(FILTER_BITS)).alias("_word"), F.expr(bit).alias("_bit")
+    # FILTER_BITS / 64 rows at most, whatever the labels: a proven bound for the broadcast.
+    table = marked.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    tested = plain.select("*", word, bit).join(F.broadcast(table), "_word", "left")
+    may = F.col("_id").isNotNull() & (F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(F.col("_bit")) != 0)
+    names = plain.columns
+    known = tested.filter(may).select(*names).join(marked, "_id", "left")
+    known = materialize(known.select(*names, "_label", "_seed", "_held"), "quality-known")
+    rest = tested.filter(~may).select(*names, F.lit(None).cast("int").alias("_label"))
+    return known, rest.unionByName(known.filter("_label is null").select(*names, "_label"))
+
+
 def _margins(batch: pa.RecordBatch, model: CoModel, words: Words) -> Iterator[tuple[list[np.ndarray], list[int], float, float]]:
     """Slots and margin of both views for rows that start with text, source, language and length."""
     facts = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
@@ -185,7 +204,7 @@ def _gather(rows: DataFrame, model: CoModel) -> np.ndarray:
         words, sums = Words(), np.zeros(_SUMS, dtype=np.int64)
         for batch in batches:
             for (text, meta, a, b), label in zip(_margins(batch, model, words), batch.column(4).to_pylist(), strict=True):
-                sides = model.taught(np.array([a]), np.array([b]))[:, 0] if label is None else (label, label)
+                sides = model.taught(a, b) if label is None else (label, label)
                 if sides[0] >= 0:
                     for family in text:
                         if len(family):
@@ -246,23 +265,21 @@ def learn_quality_views(docs: DataFrame, labels: DataFrame, max_held: int = MAX_
 
     Labels of one class give that class to every document; no labels give one half. Rows with an id that has a
     label are never taught, rows without an id always may be; repeated rows count each, but a held-out id
-    calibrates once. Every round reads the corpus once; whether the labelled ids are broadcast is left to
-    Spark's size checks.
+    calibrates once. Every round reads the corpus once. Texts with a label are shuffled and stored once.
     """
     marked = roles(labels, max_held)
     plain = docs.select(F.col("doc_id").alias("_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     blank = CoModel(np.zeros(_TEXT), np.zeros(_META), np.array([1.0, 0, 1, 0, 0, 0.5, 0.5]))
-    labelled = _gather(plain.join(marked.filter("_seed").select("_id", "_label"), "_id"), blank)
+    known, pool = _split(plain, marked)
+    labelled = _gather(known.filter("_seed"), blank)
     by_class = labelled[-4:-2]
     if not by_class.all():
         blank.head[4] = 4.0 * np.sign(by_class[1] - by_class[0])
         return blank
-    held = plain.join(F.broadcast(marked.filter("_held").select("_id", "_label")), "_id")  # at most max_held ids
     facts = ("text", "source", "lang", "n_chars")
-    held = held.groupBy("_id", "_label").agg(F.min(F.struct(*facts)).alias("row"))
+    held = known.filter("_held").groupBy("_id", "_label").agg(F.min(F.struct(*facts)).alias("row"))
     late = F.pmod(F.xxhash64(F.lit("late"), "_id"), F.lit(2)) == 0
     held = materialize(held.select("_id", "_label", late.alias("_late"), "row.*"), "quality-held")
-    pool = plain.join(marked.select("_id"), "_id", "left_anti").withColumn("_label", F.lit(None).cast("int"))
     taught = np.zeros_like(labelled)
     model = _calibrated(*view_weights(labelled, taught), held)
     for _ in range(rounds):
