@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import is_blank, strip
@@ -359,6 +360,29 @@ def ins_page(spark: SparkSession, sf: str) -> DataFrame:
     return page(_events(spark, sf), 3, 100, ["event_id"])
 
 
+@query("SELECT * FROM events ORDER BY ts, event_id LIMIT 100 OFFSET 200")
+def ins_page_all_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return page(read_table(spark, sf, "events"), 3, 100, ["ts", "event_id"])
+
+
+_DAYS = [f"{date(1995, 1, 1) + timedelta(days=i)} 00:00:00" for i in range(365)]
+
+
+@query(f"SELECT * FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') IN ({_q(*_DAYS)})")
+def flt_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Timestamps by their text; the scan gets them as timestamps."""
+    return filter_in(read_table(spark, sf, "orders"), "o_orderdate", _DAYS)
+
+
+_NAMES = [f"Customer#{i:09d}" for i in range(0, 6000, 2)]
+
+
+@query(f"SELECT * FROM customer WHERE c_name IN ({_q(*_NAMES)})")
+def flt_long_list(spark: SparkSession, sf: str) -> DataFrame:
+    """A list too long for a literal: a semi join behind a range that the scan knows."""
+    return filter_in(read_table(spark, sf, "customer"), "c_name", _NAMES)
+
+
 _LINE_KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate"
 
 
@@ -491,7 +515,7 @@ def pv_wide(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pv_wide_given_keys(spark: SparkSession, sf: str) -> DataFrame:
     spec = PivotSpec(("p_brand",), ("p_size",), (("p_partkey", "Количество"),))
-    return pivot_wide(read_table(spark, sf, "part"), spec, column_keys=[("1",), ("2",), ("50",)])
+    return pivot_wide(read_table(spark, sf, "part"), spec, column_keys=[("1",), ("2",), ("50",)], unlisted="drop")
 
 
 @query(_long(f"'{TOTAL_LABEL}' AS \"{TOTAL_LABEL}\"", "o_orderstatus", "orders", {"o_custkey_sum": "sum(o_custkey)"}))
@@ -855,6 +879,29 @@ def _split_back(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _typed_back(back: DataFrame, like: DataFrame) -> list[Column]:
+    return [F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields]
+
+
+@query("SELECT * FROM orders")
+def snk_csv_all_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column of a typed table, doubles and timestamps too, through CSV and back into its type."""
+    folder, orders = scratch_dir(spark, "orders"), read_table(spark, sf, "orders")
+    write_csv(orders, folder)
+    back = read_delimited(spark, folder)
+    return back.select(*_typed_back(back, orders))
+
+
+@query("SELECT event_type AS dest_file, * FROM events")
+def snk_split_csv_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column of the events, fractions of seconds and quoted JSON too, through a split export and back."""
+    folder, events = scratch_dir(spark, "events"), read_table(spark, sf, "events")
+    export(events, ExportSpec(output_format="csv", file_split_column="event_type"), folder, "run")
+    back = read_delimited(spark, folder)
+    dest = F.regexp_extract("source_file", r"file_name=export \(conver_run\)_(.*)\.csv/", 1)
+    return back.select(dest.alias("dest_file"), *_typed_back(back, events))
+
+
 @query(_ORDERS_AS_TEXT.replace("SELECT", "SELECT o_orderpriority AS dest_file,", 1))
 def bt_batch(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of a batch, as its outputs hold them."""

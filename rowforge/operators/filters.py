@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from datetime import date, datetime
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +27,65 @@ def value_table(spark: SparkSession, values: list[str], name: str, with_null: bo
     return F.broadcast(table) if sum(map(len, values)) <= BROADCAST_CHARS else table
 
 
+def _numbers(kind: T.IntegralType, values: list[str]) -> list[int]:
+    """The values that are the text of a number of this type."""
+    bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(kind.simpleString(), 63)
+    numbers = [int(v) for v in values if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v)]
+    return [n for n in numbers if -(1 << bits) <= n < 1 << bits]
+
+
+def _typed(kind: T.DataType, values: list[str]) -> list[object] | None:
+    """The values as cells of the type, or nothing unless each has exactly one cell that could read like it.
+
+    Zeros and what is no finite number are left to the text: their cells are equal to others of another text.
+    Times with a time zone are, too: an hour that a clock repeats reads the same twice.
+    """
+    try:
+        if isinstance(kind, T.BooleanType):
+            return [{"true": True, "false": False}[v] for v in values]
+        if isinstance(kind, T.DoubleType):
+            numbers = [float(v) for v in values]
+            return numbers if all(n and isfinite(n) for n in numbers) else None
+        if isinstance(kind, T.DateType) and all(re.fullmatch(r"\d{4}-\d\d-\d\d", v, re.A) for v in values):
+            return [date.fromisoformat(v) for v in values]
+        whole = r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(\.\d{1,6})?"
+        if isinstance(kind, T.TimestampNTZType) and all(re.fullmatch(whole, v, re.A) for v in values):
+            return [datetime.fromisoformat(v) for v in values]
+    except (KeyError, ValueError):
+        pass
+    return None
+
+
+def _literal(kind: T.DataType, value: object) -> Column:
+    return F.lit(str(value)).cast(kind) if isinstance(value, date) else F.lit(value).cast(kind)
+
+
 def is_one_of(field: T.StructField, values: list[str]) -> Column:
     """Whether a cell's text is one of ``values``.
 
     For whole numbers the values that are the text of a number become numbers and the others are left
-    out, so that the test reaches the scan as it does for strings.
+    out, so that the test reaches the scan as it does for strings. For other types a test on typed values
+    goes along with the one on texts for the same end.
     """
     cell, kind = col(field.name), field.dataType
     if not isinstance(kind, T.IntegralType):
-        return as_text(cell, kind).isin(*values)
-    bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(kind.simpleString(), 63)
-    numbers = [int(v) for v in values if re.fullmatch(r"0|-?[1-9][0-9]{0,18}", v)]
-    numbers = [n for n in numbers if -(1 << bits) <= n < 1 << bits]
+        text, typed = as_text(cell, kind).isin(*values), _typed(kind, values)
+        return text if typed is None else cell.isin(*[_literal(kind, v) for v in typed]) & text
+    numbers = _numbers(kind, values)
     none = F.when(cell.isNotNull(), F.lit(False))
     return cell.isin(*[F.lit(n).cast(kind) for n in numbers]) if numbers else none
 
 
+def _between(field: T.StructField, values: list[str]) -> Column | None:
+    """Whether a cell lies between the least and the greatest value, which scans can tell; nothing if that is unclear."""
+    cell, kind = col(field.name), field.dataType
+    if kind == T.StringType():
+        found = sorted(values, key=lambda v: v.encode("utf-8", "surrogatepass"))
+    else:
+        found = sorted((_numbers(kind, values) if isinstance(kind, T.IntegralType) else _typed(kind, values)) or ())
+    return cell.between(_literal(kind, found[0]), _literal(kind, found[-1])) if found else None
+
+
 def filter_in(
     df: DataFrame,
     column: str | None,
@@ -79,6 +124,9 @@ def filter_in(
     if len(listed) <= LITERAL_VALUES:
         test = is_one_of(field, listed)
         return df.filter(test | cell.isNull() if keep_short else test)
+    near = _between(field, listed)
+    if near is not None:
+        df = df.filter(near | cell.isNull() if keep_short else near)
     return _semi(df, cell, value_table(df.sparkSession, listed, "_wanted", keep_short), keep_short)
 
 

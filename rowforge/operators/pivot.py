@@ -140,15 +140,20 @@ def pivot_wide(
     column_keys: Sequence[Sequence[str]] | None = None,
     max_columns: int = MAX_PIVOT_COLUMNS,
     skip_blank_rows: bool | None = None,
+    unlisted: str = "raise",
 ) -> DataFrame:
     """One row per row key, one column per (column key, metric), missing cells 0.
 
+    A column key that given ``column_keys`` leave out fails the job; ``unlisted="drop"`` leaves its cells out.
+
     Without given ``column_keys`` the aggregated groups are stored once: the keys are read from them
     (refused beyond ``max_columns``) and the wide table is built from them, so the input is scanned
     a single time.
     """
+    if unlisted not in ("raise", "drop"):
+        raise ValueError("unlisted is 'raise' or 'drop'")
     groups = pivot_groups(df, spec, filter_column, filter_values, skip_blank_rows=skip_blank_rows)
-    names = _column_keys(spec)
+    names, given = _column_keys(spec), column_keys is not None
     if column_keys is None:
         groups = materialize(groups, "pivot")
         found = groups.select(*names).distinct().limit(max_columns + 1).collect()
@@ -163,6 +168,11 @@ def pivot_wide(
     # Distinct keys may read the same once joined, so cells are matched on the key as a tuple.
     keyed = groups.withColumn("_key", F.concat(*[F.concat(F.length(n), F.lit(":"), F.col(n)) for n in names]))
     encoded = ["".join(f"{len(part)}:{part}" for part in key) for key in column_keys]
+    if given and unlisted == "raise":
+        known = F.col("_key").isin(*encoded) if encoded else F.lit(False)
+        unknown = F.raise_error(F.concat(F.lit("column key not listed: "), F.concat_ws(KEY_SEPARATOR, *names)))
+        keyed = keyed.withColumn("_key", F.when(known, F.col("_key")).otherwise(unknown.cast("string")))
+        groups = keyed if encoded else keyed.filter("_key is not null")
     if not encoded:
         return groups.select(*rows).distinct().toDF(*_row_names(spec))
     wide = (
