@@ -179,7 +179,8 @@ def _split(plain: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested = plain.select("*", word, bit).join(F.broadcast(table), "_word", "left")
     may = F.col("_id").isNotNull() & (F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(F.col("_bit")) != 0)
     names = plain.columns
-    known = tested.filter(may).select(*names).join(marked, "_id", "left")
+    # Never by broadcast, so that the cost is in proportion to the documents with a label at every size.
+    known = tested.filter(may).select(*names).join(marked.hint("merge"), "_id", "left")
     known = materialize(known.select(*names, "_label", "_seed", "_held"), "quality-known")
     rest = tested.filter(~may).select(*names, F.lit(None).cast("int").alias("_label"))
     return known, rest.unionByName(known.filter("_label is null").select(*names, "_label"))
