@@ -55,7 +55,7 @@ from .operators import (
     with_source,
 )
 from .operators.layout import file_stem
-from .plans.export import export, export_batch
+from .plans.export import export, export_batch, run_batch
 from .plans.spec import ExportSpec, PivotSpec
 from .runtime import materialize, scratch_dir
 from .sinks.csv import write_csv
@@ -936,6 +936,31 @@ def bt_per_file(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(failed)
 
 
+@query(
+    "WITH r AS (SELECT o_orderstatus AS k, o_orderpriority AS v, o_orderkey % 2 AS h FROM orders WHERE o_orderstatus IN ('F', 'O')), "
+    "d AS (SELECT DISTINCT k, v, h FROM r WHERE h = 0) SELECT 'run' AS run_id, (SELECT count(*) FROM orders) AS rows_in, "
+    "(SELECT count(*) FROM r) AS rows_kept, (SELECT count(*) FROM r) AS rows_routed, (SELECT count(*) FROM r WHERE h = 0) - "
+    "(SELECT count(*) FROM d) AS duplicates_removed, (SELECT count(*) FROM d) + (SELECT count(*) FROM r WHERE h = 1) AS "
+    "rows_written, (SELECT count(DISTINCT (k, h)) FROM r) AS outputs, CAST(1 AS BIGINT) AS files_failed"
+)
+def bt_export_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of one run over two headers and a file without a line, of which one header loses its duplicates."""
+    folder = scratch_dir(spark, "headers")
+    orders = read_table(spark, sf, "orders")
+    even, odd = (orders.filter(F.col("o_orderkey") % 2 == half).coalesce(1) for half in (0, 1))
+    write_csv(even.select("o_orderstatus", "o_orderpriority", "o_orderkey"), f"{folder}/even")
+    write_csv(odd.select("o_orderpriority", "o_orderstatus"), f"{folder}/odd")
+    orders.limit(0).select("o_orderstatus").coalesce(1).write.text(f"{folder}/empty")
+    spec = ExportSpec(
+        output_format="csv",
+        filter_column="o_orderstatus",
+        filter_values=("F", "O"),
+        file_split_column="o_orderstatus",
+        selected_columns=("o_orderstatus", "o_orderpriority"),
+    )
+    return run_batch(spark, folder, spec, scratch_dir(spark, "batch"), "run")[1]
+
+
 @query(_ORDERS_AS_TEXT.replace("SELECT", "SELECT o_orderpriority AS dest_file,", 1))
 def st_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of the files that arrived, as the outputs hold them."""

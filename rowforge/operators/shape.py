@@ -17,11 +17,12 @@ DESTINATION = (SOURCE_FILE, DEST_FILE, DEST_SHEET)
 
 def routed(df: DataFrame, spec: ExportSpec) -> DataFrame:
     """Filtered rows with their destination; an unused level of it is the empty string."""
-    df = _destination(filter_in(df, spec.filter_column, spec.filter_values), spec)
+    df = with_destination(filter_in(df, spec.filter_column, spec.filter_values), spec)
     return df.withColumns({c: F.coalesce(col(c), F.lit("")) for c in (DEST_FILE, DEST_SHEET)})
 
 
-def _destination(df: DataFrame, spec: ExportSpec, drop: bool = True) -> DataFrame:
+def with_destination(df: DataFrame, spec: ExportSpec, drop: bool = True) -> DataFrame:
+    """Add the destination of each row; without ``drop`` rows that have none stay, with NULL."""
     for column, values, out in (
         (spec.file_split_column, spec.file_split_values, DEST_FILE),
         (spec.sheet_split_column, spec.sheet_split_values, DEST_SHEET),
@@ -74,7 +75,7 @@ def export_metrics(df: DataFrame, spec: ExportSpec, run_id: str = "") -> DataFra
     spec = spec.normalise(labels)
     unique = spec.removes_duplicates(labels)
     marked = mark_in(with_source(df), spec.filter_column, spec.filter_values, "_kept")
-    marked = _destination(marked, spec, drop=False)
+    marked = with_destination(marked, spec, drop=False)
     placed = F.col("_kept") & col(DEST_FILE).isNotNull() & col(DEST_SHEET).isNotNull()
     keys = {c: F.when(F.col("_routed"), col(c)) for c in DESTINATION}
     if unique:

@@ -4,27 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, ROW_ID, SOURCE_FILE, col, find, headers, label, unique_physical_names, without_output_names
-from ..functions import as_text, float_text, pad_absent
-from ..labels import PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER
+from ..columns import DEST_FILE, DEST_SHEET, ENGINE_COLUMNS, SOURCE_FILE, col, find, headers, label, without_output_names
+from ..functions import as_text, pad_absent
 from ..operators.filters import filter_in
-from ..operators.layout import DATA_ROWS, WORKBOOK_ROWS, base_names, manifest, place_rows, single_base_name
-from ..operators.numbering import number_rows, with_row_id
-from ..operators.pivot import metric_name, pivot_grid, pivot_long
+from ..operators.layout import DATA_ROWS, WORKBOOK_ROWS, base_names, manifest, single_base_name
+from ..operators.numbering import with_row_id
 from ..operators.shape import destinations, shape, with_source
 from ..runtime import materialize
 from ..sinks.csv import write_csv, write_csv_headers, write_parquet
 from ..sinks.workbook import write_workbooks
 from ..sources.delimited import read_batch
 from ..sources.profile import escape_glob, profile_files, text_lines
-from .spec import ExportSpec, PivotSpec, aggregation
+from .rows import pivot_csv, pivot_rows, pivot_sheets, placed_cells
+from .spec import ExportSpec, PivotSpec
+from .together import COUNTERS, ENDLESS, export_together
 
 MANIFEST = "source_file string, dest_file string, dest_sheet string, sheet_part int, file_name string, sheet_name string, n_rows long, error string"
-_ENDLESS = 1 << 60
 
 
 def export(
@@ -68,7 +68,7 @@ def export(
     sheets = spec.output_format == "xlsx"
     extension = spec.output_format
     plan = manifest(
-        counts, run_id, extension, cap if sheets else _ENDLESS, workbook_rows, spec.sheet_label, bases
+        counts, run_id, extension, cap if sheets else ENDLESS, workbook_rows, spec.sheet_label, bases
     )
     plan = materialize(plan, "manifest")
 
@@ -85,7 +85,7 @@ def export(
             nothing = [F.lit("").alias(DEST_FILE), F.lit("").alias(DEST_SHEET), F.lit(1).alias("sheet_part"), F.lit(0).cast("long").alias("n_rows")]
             plan = plan.unionByName(empty.select("*", *nothing), allowMissingColumns=True)
         if spec.pivot:
-            write(_pivot_csv(source, spec, bases), path, mode="append")
+            write(pivot_csv(source, spec, bases), path, mode="append")
     name = F.col("sheet_name") if sheets else F.lit(None).cast("string")
     return plan.select(
         SOURCE_FILE,
@@ -117,44 +117,13 @@ def _sheet_rows(
     header = F.array(*[F.lit(label(f)) for f in fields])
     out = plan.select(*where, top, text, header.alias("cells"))
 
-    keys = [SOURCE_FILE, DEST_FILE, DEST_SHEET]
-    if plan.filter("sheet_part > 1").isEmpty():
-        # No sheet is full: the row ids put the rows in order, and the writer counts them.
-        placed = rows.withColumn("sheet_row", col(ROW_ID) + 2)
-    else:
-        keys.append("sheet_part")
-        placed = place_rows(materialize(rows, "rows"), cap)
-    placed = placed.join(plan.select(*keys, *where), keys)
-    out = out.unionByName(placed.select(*where, "sheet_row", text, cells.alias("cells")))
+    engine = [c for c in rows.columns if c in ENGINE_COLUMNS]
+    out = out.unionByName(placed_cells(rows.select(*engine, cells.alias("cells")), plan, cap))
     if spec.pivot:
-        out = out.unionByName(_pivot_sheets(source, plan, spec, bases, cap, workbook_rows))
+        out = out.unionByName(pivot_sheets(source, plan, spec, bases, cap, workbook_rows))
     return out
 
 
-def _pivot_rows(source: DataFrame, spec: ExportSpec, cap: int) -> DataFrame:
-    """Header and body rows of each source's pivot: ``source_file, _part, sheet_row, text_cells, cells``."""
-    header, rows = pivot_grid(source, spec.pivot, spec.filter_column, spec.filter_values)
-    rows = number_rows(with_row_id(rows, [SOURCE_FILE, "row_key"]), "_n", [SOURCE_FILE])
-    part = F.floor((F.col("_n") - 1) / cap)
-    texts = F.transform(
-        "cells",
-        lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit("")).otherwise(float_text(F.round(x, 2))),
-    )
-    body = rows.select(
-        SOURCE_FILE,
-        part.alias("_part"),
-        ((F.col("_n") - 1) % cap + 2).cast("long").alias("sheet_row"),
-        F.size("row_key").alias("text_cells"),
-        F.concat("row_key", texts).alias("cells"),
-    )
-    parts = body.select(SOURCE_FILE, "_part").distinct()
-    tops = parts.join(header, SOURCE_FILE).select(
-        SOURCE_FILE, "_part", F.lit(1).cast("long").alias("sheet_row"), F.lit(None).cast("int").alias("text_cells"),
-        F.col("header").alias("cells"),
-    )
-    return tops.unionByName(body)
-
-
 def write_pivot(
     df: DataFrame,
     pivot: PivotSpec,
@@ -169,7 +138,7 @@ def write_pivot(
     The wide form, or the long one where it has too many columns; further sheets after ``cap`` rows.
     """
     spec = ExportSpec(pivot=pivot, filter_column=filter_column, filter_values=filter_values)
-    rows = _pivot_rows(df.withColumn(SOURCE_FILE, F.lit("")), spec, cap)
+    rows = pivot_rows(df.withColumn(SOURCE_FILE, F.lit("")), spec, cap)
     further = F.concat(F.lit(f"{spec.pivot_label}_"), F.col("_part"))
     sheets = rows.select(
         F.lit(file_name).alias("file_name"),
@@ -182,73 +151,6 @@ def write_pivot(
     write_workbooks(sheets, path)
 
 
-def _pivot_sheets(
-    source: DataFrame, plan: DataFrame, spec: ExportSpec, bases: DataFrame, cap: int, workbook_rows: int
-) -> DataFrame:
-    """The pivot of each source: a further sheet of its workbook, or a workbook when split to files.
-
-    Sheets past ``workbook_rows`` rows of a pivot go on in workbooks of their own.
-    """
-    title = spec.pivot_label
-    rows = _pivot_rows(source, spec, cap)
-    if spec.file_split_column:
-        place = bases.select(
-            SOURCE_FILE,
-            "base_name",
-            F.concat("base_name", F.lit(f"_{title}.xlsx")).alias("file_name"),
-            F.lit(0).cast("long").alias("_last"),
-            F.lit(0).cast("long").alias("_taken"),
-        )
-    else:
-        # The sheet follows the last one; if its name is taken it gets the next free number.
-        like = F.regexp_extract(F.lower("sheet_name"), f"^{title.lower()}(?:_([0-9]{{1,9}}))?$", 1)
-        number = F.when(F.lower("sheet_name") == title.lower(), 1).otherwise(like.try_cast("long") + 1)
-        place = plan.groupBy(SOURCE_FILE).agg(
-            F.max_by("file_name", "sheet_no").alias("file_name"),
-            F.max("sheet_no").alias("_last"),
-            F.coalesce(F.max(number), F.lit(0)).cast("long").alias("_taken"),
-        )
-        # A source whose rows were all filtered out has no workbook yet; the pivot opens it.
-        empty = F.concat("base_name", F.lit(".xlsx"))
-        place = bases.join(place, SOURCE_FILE, "left").select(
-            SOURCE_FILE,
-            "base_name",
-            F.coalesce("file_name", empty).alias("file_name"),
-            F.coalesce("_last", F.lit(0)).alias("_last"),
-            F.coalesce("_taken", F.lit(0)).alias("_taken"),
-        )
-    index = F.col("_taken") + F.col("_part")
-    book = F.floor(F.col("_part") * (cap + 1) / workbook_rows) + 1
-    next_book = F.concat("base_name", F.lit(".part"), book, F.lit(f"_{title}.xlsx"))
-    return (
-        rows.join(place, SOURCE_FILE)
-        .select(
-            F.when(book > 1, next_book).otherwise(F.col("file_name")).alias("file_name"),
-            (F.col("_last") + F.col("_part") + 1).alias("sheet_no"),
-            F.when(index == 0, title).otherwise(F.concat(F.lit(f"{title}_"), index)).alias("sheet_name"),
-            "sheet_row",
-            "text_cells",
-            "cells",
-        )
-    )
-
-
-def _pivot_csv(source: DataFrame, spec: ExportSpec, bases: DataFrame) -> DataFrame:
-    """The long pivot of each source as rows of its own file, sorted by key."""
-    pivot: PivotSpec = spec.pivot
-    long = pivot_long(source, pivot, spec.filter_column, spec.filter_values, by=[SOURCE_FILE])
-    counts = [metric_name(f, a) for f, a in pivot.metrics if aggregation(a) == "count"]
-    value = F.when(F.col("metric").isin(*counts), F.col("value").cast("long").cast("string"))
-    value = value.otherwise(float_text(F.col("value")))
-    row_names = list(pivot.rows) or [pivot.total_label]
-    names = [*row_names, PIVOT_COLUMN_HEADER, PIVOT_METRIC_HEADER, PIVOT_VALUE_HEADER]
-    flat = long.select(SOURCE_FILE, *map(col, row_names), "col_key", "metric", value.alias("value"))
-    flat = flat.toDF(SOURCE_FILE, *unique_physical_names(names))
-    ordered = with_row_id(flat, [col(c) for c in flat.columns[:-1]])
-    file_name = F.concat("base_name", F.lit(f"_{spec.pivot_label}.{spec.output_format}")).alias("file_name")
-    return ordered.join(bases.select(SOURCE_FILE, file_name), SOURCE_FILE)
-
-
 def _cause(failure: Exception) -> str:
     """The innermost cause that the message names, else its first line."""
     lines = str(failure).splitlines() or [""]
@@ -267,7 +169,7 @@ def _unreadable(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
     return found
 
 
-def export_batch(
+def run_batch(
     spark: SparkSession,
     paths: str | Sequence[str],
     spec: ExportSpec,
@@ -277,12 +179,14 @@ def export_batch(
     skip_unreadable: bool = False,
     mode: str = "append",
     **options: int,
-) -> DataFrame:
-    """Export many text files with one spec; files with the same dialect and header share a job.
-
-    If a job fails, its files are read one by one; those that cannot be read get an error row with the cause
-    in the manifest, and the others are exported again. If all can be read, every file of the job gets an
-    error row. The other jobs go on in any case.
+) -> tuple[DataFrame, DataFrame]:
+    """Export many text files with one spec; returns the manifest and one row of counters of this run.
+
+    All files are exported together, whatever their headers. If that fails, or one header's outputs cannot be
+    written, the headers go one by one; of one that fails its files are read one by one: those that cannot be
+    read get an error row with the cause in the manifest, and the others are exported again. If all can be
+    read, every file of that header gets an error row. The other headers go on in any case. Files with an error
+    count for nothing but ``files_failed``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     profile = profile_files(spark, paths, skip_unreadable)
@@ -290,18 +194,40 @@ def export_batch(
     empty = [F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in MANIFEST.split(", ")[1:-1])]
     result = profile.filter("error IS NOT NULL").select(SOURCE_FILE, *empty, "error")
     tables = read_batch(spark, paths, keep_blank_rows, profile=profile)
-    while tables:
-        table = tables.pop(0)
+    groups = [tables] if tables else []
+    counters = []
+    while groups:
+        group = groups.pop(0)
+        own = spark.createDataFrame([(f,) for table in group for f in table.files], f"{SOURCE_FILE} string")
         try:
-            own = spark.createDataFrame([(f,) for f in table.files], f"{SOURCE_FILE} string")
-            part = export(table.df, spec, path, run_id, bases=bases.join(own, SOURCE_FILE, "left_semi"), mode=mode, **options)
-            mode = "append"
+            run = export_together(group, spec, path, run_id, bases.join(own, SOURCE_FILE, "left_semi"), mode=mode, **options)
         except Exception as failure:  # one table must not stop the others
-            broken = _unreadable(spark, table.files)
-            others = [f for f in table.files if f not in broken]
+            if len(group) > 1:
+                groups = [[table] for table in group] + groups
+                continue
+            failures = {0: failure}
+        else:
+            failures = run.failures
+            result = result.unionByName(run.manifest)
+            counters.append(run.counters)
+            mode = "append" if len(failures) < len(group) else mode
+        for number, failure in failures.items():
+            files = group[number].files
+            broken = _unreadable(spark, files)
+            others = [f for f in files if f not in broken]
             if broken and others:
-                tables += read_batch(spark, paths, keep_blank_rows, profile=profile.filter(col(SOURCE_FILE).isin(others)))
-            rows = list((broken or dict.fromkeys(table.files, _cause(failure))).items())
+                again = read_batch(spark, paths, keep_blank_rows, profile=profile.filter(col(SOURCE_FILE).isin(others)))
+                groups += [[table] for table in again]
+            rows = list((broken or dict.fromkeys(files, _cause(failure))).items())
             part = spark.createDataFrame(rows, "source_file string, error string").select(SOURCE_FILE, *empty, "error")
-        result = result.unionByName(part)
-    return result
+            result = result.unionByName(part)
+    names = [f.split()[0] for f in COUNTERS.split(", ")]
+    total = reduce(DataFrame.unionByName, counters, spark.createDataFrame([], COUNTERS))
+    failed = F.lit(result.filter("error IS NOT NULL").count()).alias("files_failed")
+    sums = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in names]
+    return result, total.agg(F.lit(run_id).alias("run_id"), *sums, failed)
+
+
+def export_batch(spark: SparkSession, paths: str | Sequence[str], spec: ExportSpec, path: str, run_id: str, **options: object) -> DataFrame:
+    """:func:`run_batch` without the counters: the manifest alone."""
+    return run_batch(spark, paths, spec, path, run_id, **options)[0]

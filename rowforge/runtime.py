@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -61,13 +61,13 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
 
 
-def materialize(df: DataFrame, purpose: str = "stage") -> DataFrame:
-    """Write a frame to shared scratch storage and read it back.
+def materialize(df: DataFrame, purpose: str = "stage", folders: Sequence[str] = ()) -> DataFrame:
+    """Write a frame to shared scratch storage and read it back, one folder per value of ``folders``.
 
     This cuts lineage in storage that outlives executors. Unlike an RDD checkpoint the result is
     columnar: later branches read only the columns they need.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,23 +41,31 @@ def output_names(df: DataFrame) -> dict[str, str]:
     return {f.name: label(f) if seen[label(f).lower()] == 1 else f.name for f in fields}
 
 
-def _in_order(df: DataFrame) -> DataFrame:
-    """Rows of a file side by side and in input order.
+def _in_order(df: DataFrame, observed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows of a file side by side and in input order; ``observed`` is put to the rows of the stage that writes.
 
     The ranges run over file name and row id, so a file of any size is spread over many tasks and
     small files share one. Part files of an output carry its rows in order.
     """
     keys = [c for c in (FILE_NAME, ROW_ID) if c in df.columns]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
-
-
-def write_csv(df: DataFrame, path: str, crlf: bool = False, mode: str = "errorifexists") -> None:
+    placed = df.repartitionByRange(*keys) if keys else df
+    placed = observed(placed) if observed else placed
+    return placed.sortWithinPartitions(*keys) if keys else placed
+
+
+def write_csv(
+    df: DataFrame,
+    path: str,
+    crlf: bool = False,
+    mode: str = "errorifexists",
+    observed: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Write a table as CSV with a byte order mark, below ``file_name=...`` folders if it names files."""
     names = output_names(df)
     # Cells are the text that filters, routes and workbooks use, whatever their type.
     cells = [as_text(col(c), df.schema[c].dataType) for c in names]
     titles = [BOM + text if i == 0 else text for i, text in enumerate(names.values())]
-    out = _in_order(df).select(
+    out = _in_order(df, observed).select(
         *[c for c in (FILE_NAME,) if c in df.columns], *[c.alias(t) for c, t in zip(cells, titles, strict=True)]
     )
     writer = out.write.mode(mode).options(**csv_options(len(names), crlf))
@@ -73,10 +82,15 @@ def write_csv_headers(files: DataFrame, like: DataFrame, path: str, crlf: bool =
     files.select(FILE_NAME, *titles).write.mode("append").options(**options).partitionBy(FILE_NAME).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_parquet(
+    df: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    observed: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """The same outputs as parquet, for further processing at scale."""
     names = [col(c).alias(text) for c, text in output_names(df).items()]
-    out = _in_order(df).select(*[c for c in (FILE_NAME,) if c in df.columns], *names)
+    out = _in_order(df, observed).select(*[c for c in (FILE_NAME,) if c in df.columns], *names)
     writer = out.write.mode(mode)
     if FILE_NAME in df.columns:
         writer = writer.partitionBy(FILE_NAME)

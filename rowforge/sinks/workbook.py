@@ -11,7 +11,7 @@ import re
 import sys
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import escape, quoteattr
 
@@ -188,13 +188,17 @@ class WorkbookSource(DataSource):
         return WorkbookWriter(self.options["path"])
 
 
-def write_workbooks(rows: DataFrame, path: str) -> None:
-    """Write workbooks from rows of the schema above, one task per workbook at most."""
+def write_workbooks(rows: DataFrame, path: str, observed: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Write workbooks from rows of the schema above, one task per workbook at most.
+
+    ``observed`` is put to the rows of the stage that writes.
+    """
     # Ship this module with the job, so that executors need no installation.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark = rows.sparkSession
     spark.dataSource.register(WorkbookSource)
     keys = ["file_name", "sheet_no", "sheet_row"]
     columns = ["file_name", "sheet_no", "sheet_name", "sheet_row", "text_cells", "cells"]
-    placed = rows.select(*columns).repartition("file_name").sortWithinPartitions(*keys)
+    placed = rows.select(*columns).repartition("file_name")
+    placed = (observed(placed) if observed else placed).sortWithinPartitions(*keys)
     placed.write.format(FORMAT).mode("append").save(path)
