@@ -67,14 +67,8 @@ def _moment(x: Column, begin: Column, end: Column) -> Column:
     return F.when(begin == end, x).otherwise((root - begin) / (end - begin))
 
 
-def plan_mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, ramps: tuple = RAMPS) -> DataFrame:
-    """Per row: ``doc_id, source, _hash, size, source_size, target, taken``, and for each of its copies
-    ``taken_i`` (words) and ``position_i`` (training time, null if nothing is taken).
-
-    A null text has size 0. Rows are laid out by md5 of the id, then id, size and text hash; rows equal in
-    all of these are interchangeable. Nulls are ids and sources like any other. A source without words
-    has target 0. An empty table gives an empty plan.
-    """
+def _planned(docs: DataFrame, share: float, weights: tuple, ramps: tuple) -> DataFrame:
+    """The rows of :func:`plan_mix` with ``_row``, the place where each is laid out."""
     slim = docs.select(
         "doc_id",
         "source",
@@ -97,7 +91,35 @@ def plan_mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, ra
         columns[f"position_{copy}"] = F.when(taken > 0, _moment(start / F.col("target"), begin, end))
     planned = rows.withColumns(columns)
     total = sum((F.col(f"taken_{i}") for i in range(1, MOST_COPIES)), F.col("taken_0"))
-    return planned.select("doc_id", "source", "_hash", "size", "source_size", "target", total.alias("taken"), *columns)
+    return planned.select("_row", "doc_id", "source", "_hash", "size", "source_size", "target", total.alias("taken"), *columns)
+
+
+def plan_mix(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, ramps: tuple = RAMPS) -> DataFrame:
+    """Per row: ``doc_id, source, _hash, size, source_size, target, taken``, and for each of its copies
+    ``taken_i`` (words) and ``position_i`` (training time, null if nothing is taken).
+
+    A null text has size 0. Rows are laid out by md5 of the id, then id, size and text hash; rows equal in
+    all of these are interchangeable. Nulls are ids and sources like any other. A source without words
+    has target 0. An empty table gives an empty plan.
+    """
+    return _planned(docs, share, weights, ramps).drop("_row")
+
+
+def _copies() -> Column:
+    """The copies of a planned row of which words are taken: their words ``n`` and training time ``t``."""
+    both = [F.struct(F.col(f"taken_{i}").alias("n"), F.col(f"position_{i}").alias("t")) for i in range(MOST_COPIES)]
+    return F.filter(F.array(*both), lambda copy: copy["n"] > 0)
+
+
+def mix_sequence(plan: DataFrame, *columns: str) -> DataFrame:
+    """The mix as a sequence: copies range-sorted by training time, as ``columns, n, t`` and ``_place``, which grows
+    in the order of the mix. Copies of one time follow in the order of their id and text hash. A row that is not
+    in the mix stands behind it once, with null for ``n`` and ``t``.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    copies = plan.select(*columns, key, "_hash", F.explode_outer(_copies()).alias("_copy"))
+    copies = materialize(copies.select(*columns, "_key", "_hash", "_copy.n", "_copy.t"), "copies")
+    return with_row_id(copies, [F.col("t").asc_nulls_last(), "_key", "_hash"], "_place").drop("_key", "_hash")
 
 
 @keeps_other_columns
@@ -114,10 +136,8 @@ def mix_documents(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHT
         "_origin": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
     }
     plan = plan_mix(docs, share, weights, ramps).withColumns(keys)
-    copies = F.explode(
-        F.array(*[F.struct(F.col(f"taken_{i}").alias("n"), F.col(f"position_{i}").alias("t")) for i in range(MOST_COPIES)])
-    )
-    plan = materialize(plan.select(*keys, "_hash", F.col("size").alias("_size"), copies.alias("_copy")).filter("_copy.n > 0 AND 2 * _copy.n >= _size"), "copies")
+    copies = plan.select(*keys, "_hash", F.col("size").alias("_size"), F.explode(_copies()).alias("_copy"))
+    plan = materialize(copies.filter("2 * _copy.n >= _size"), "copies")
     keyed = docs.withColumns(keys | {"_hash": F.coalesce(F.xxhash64("text"), F.lit(0))})
     names = [*keys, "_hash"]
     # Equal rows are one document here: the plan has their copies. The join finds rows dealt by these keys.
@@ -129,9 +149,12 @@ def mix_documents(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHT
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """What the mix takes of each document, with the first training position."""
-    plan = plan_mix(docs)
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.col("position_0").alias("first_position"))
+    """What the range-sorted mix holds of each document: words of all its copies, and the time of the first one."""
+    row = ["_row", "doc_id", "size", "source_size", "target"]
+    held = mix_sequence(_planned(docs, SHARE, WEIGHTS, RAMPS), *row).groupBy(*row).agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("taken"), F.min_by("t", "_place").alias("first_position")
+    )
+    return held.drop("_row")
 
 
 #: The same figures in SQL.

@@ -390,6 +390,33 @@ def test_mix(docs, empty):
     assert curriculum.plan_mix(empty).count() == 0 and curriculum.mix_documents(empty).count() == 0
 
 
+def test_mix_digest_reads_the_sorted_mix(docs, empty, monkeypatch):
+    seen = []
+
+    def sequence(plan, *columns, _sort=curriculum.mix_sequence):
+        seen.append(_sort(plan, *columns))
+        return seen[-1]
+
+    monkeypatch.setattr(curriculum, "mix_sequence", sequence)
+    digest = curriculum.mix_digest(docs).collect()
+    copies = sorted(seen[0].collect(), key=lambda r: r["_place"])
+    copies = [r for r in copies if r["t"] is not None]
+    assert all(r["_place"] > copies[-1]["_place"] for r in seen[0].filter("n IS NULL").collect())
+    times = [r["t"] for r in copies]
+    assert times == sorted(times) and len({r["_place"] for r in copies}) == len(copies) > 0
+    first, words = {}, {}
+    for r in copies:
+        first.setdefault(r["_row"], r["t"])
+        words[r["_row"]] = words.get(r["_row"], 0) + r["n"]
+    assert len(digest) == len(rows())
+    assert sorted(r["taken"] for r in digest if r["taken"]) == sorted(words.values())
+    assert sorted(r["first_position"] for r in digest if r["taken"]) == sorted(first.values())
+    assert all(r["first_position"] is None for r in digest if not r["taken"])
+    plan = curriculum.plan_mix(docs).selectExpr("doc_id", "size", "source_size", "target", "taken", "position_0")
+    assert sorted(map(tuple, digest), key=str) == sorted(map(tuple, plan.collect()), key=str)
+    assert curriculum.mix_digest(empty).count() == 0
+
+
 def test_moments_invert_demand(spark):
     frame = spark.range(0, 101).select((F.col("id") / 100).alias("x"))
     for begin, end in curriculum.RAMPS:
