@@ -20,7 +20,7 @@ from .profile import (
     text_lines,
     whole_cells,
 )
-from .records import batch_records, header_records
+from .records import batch_records, header_places, header_records
 
 # Row ids keep the block start in units of this many bits; blocks of a scan are far larger.
 BLOCK_BITS = 14
@@ -97,7 +97,8 @@ def read_dialect(
         lines = text_lines(spark, [escape_glob(f) for f in files])
         text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if fallback else F.make_valid_utf8("value")
         first = lines.filter("block = 0").groupBy(SOURCE_FILE).agg(F.min("seq").alias("_first"))
-        body = lines.join(first, SOURCE_FILE).filter(F.col("seq") != F.col("_first"))
+        # One row per file: without the broadcast all lines of a file would meet in one task.
+        body = lines.join(F.broadcast(first), SOURCE_FILE).filter(F.col("seq") != F.col("_first"))
     else:
         text = F.col("value")
         if records is None:
@@ -105,7 +106,7 @@ def read_dialect(
             named = spark.createDataFrame([(f,) for f in files], f"{SOURCE_FILE} string").select(SOURCE_FILE, *dialect)
             records = batch_records(spark, named)
         own = records.filter(F.col(SOURCE_FILE).isin(*files))
-        body = own.join(header_records(own), SOURCE_FILE).filter(F.struct("block", "seq") > F.col("_first"))
+        body = own.join(F.broadcast(header_places(own)), SOURCE_FILE).filter(F.struct("block", "seq") > F.col("_first"))
     if not keep_blank_rows:
         body = body.filter(F.col("value") != "")
     record = F.from_csv(text, F.lit(schema), options)

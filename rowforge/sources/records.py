@@ -154,17 +154,23 @@ def batch_records(spark: SparkSession, files: DataFrame) -> DataFrame:
     narrow = [escape_glob(f) for f, e in known.items() if e not in WIDE_ENCODINGS]
     parts = []
     if narrow:
-        raw = text_lines(spark, narrow).join(files.select(SOURCE_FILE, "encoding", "delimiter"), SOURCE_FILE)
+        raw = text_lines(spark, narrow).join(F.broadcast(files.select(SOURCE_FILE, "encoding", "delimiter")), SOURCE_FILE)
         latin1 = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
         text = F.when(F.col("encoding") == FALLBACK_ENCODING, latin1).otherwise(F.make_valid_utf8("value"))
         parts.append(raw.withColumn("value", text).select(SOURCE_FILE, "block", "seq", "value", "delimiter"))
     for encoding in sorted(set(known.values()) & set(WIDE_ENCODINGS)):
         lines = wide_lines(spark, [f for f, e in known.items() if e == encoding], encoding)
-        lines = lines.join(files.select(SOURCE_FILE, "delimiter"), SOURCE_FILE)
+        lines = lines.join(F.broadcast(files.select(SOURCE_FILE, "delimiter")), SOURCE_FILE)
         parts.append(lines.select(SOURCE_FILE, "block", "seq", "value", "delimiter"))
     return quoted_records(reduce(DataFrame.unionByName, parts)).select(SOURCE_FILE, "block", "seq", "value")
 
 
+def header_places(records: DataFrame) -> DataFrame:
+    """``source_file, _first``: place of each file's first record that is not an empty line, found block by block."""
+    blocks = records.filter("value <> ''").groupBy(SOURCE_FILE, "block").agg(F.min("seq").alias("seq"))
+    return blocks.groupBy(SOURCE_FILE).agg(F.min(F.struct("block", "seq")).alias("_first"))
+
+
 def header_records(records: DataFrame) -> DataFrame:
     """``source_file, _first, header_text``: place and text of each file's first record that is not an empty line."""
     place = F.struct("block", "seq")
