@@ -93,16 +93,20 @@ def _outcomes(members: Sequence[Member]) -> tuple[DataFrame, dict[int, DataFrame
     single = {m.number: m.outcome() for m in members}
     rows = reduce(DataFrame.unionByName, single.values())
     flags = ["_member", *DESTINATION, "_kept", "_routed"]
-    if not any(m.unique for m in members):
-        return rows.withColumn("copies", F.lit(1).cast("long")), {n: df.filter("_routed") for n, df in single.items()}
-    # Copies collapse before the shuffle. Rows without a destination are one group per source and flag; rows of
-    # headers that keep their duplicates are groups of their own.
-    alone = F.when(F.col("_routed") & ~F.col("_unique"), F.col(ROW_ID)).alias("_alone")
-    grouped = rows.groupBy(*flags, alone, "cells").agg(
-        F.min(ROW_ID).alias(ROW_ID), F.count(F.lit(1)).alias("copies")
-    )
-    stored = materialize(grouped.drop("_alone"), "outcomes", ["_member"])
-    return stored, {m.number: stored.filter(F.col("_member") == m.number).filter("_routed") for m in members}
+    # Rows are parsed once and stored: filters on what becomes of them would parse every line anew for each cell.
+    # Copies collapse before the shuffle, rows without a destination to one group per source and flag. Rows of headers
+    # that keep their duplicates stay as they are: as groups of one row each they would fill the memory of their tasks.
+    stored = {}
+    if any(m.unique for m in members):
+        grouped = rows.filter("_unique").groupBy(*flags, "cells").agg(
+            F.min(ROW_ID).alias(ROW_ID), F.count(F.lit(1)).alias("copies")
+        )
+        stored[True] = materialize(grouped, "outcomes", ["_member"])
+    if not all(m.unique for m in members):
+        kept = rows.filter("NOT _unique").select(*flags, "cells", ROW_ID, F.lit(1).cast("long").alias("copies"))
+        stored[False] = materialize(kept, "outcomes")
+    own = {m.number: stored[m.unique].filter(F.col("_member") == m.number).filter("_routed") for m in members}
+    return reduce(DataFrame.unionByName, stored.values()), own
 
 
 def export_together(
