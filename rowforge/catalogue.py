@@ -992,7 +992,7 @@ def src_encodings(spark: SparkSession, sf: str) -> DataFrame:
     write("three", _NOTE, sep=",", encoding="UTF-16")
     write("four", _NOTE, sep=",", extension="log")
     found = profile_batch(spark, folder).select("source_file", "encoding", "delimiter")
-    return read_delimited(spark, folder).join(found, "source_file").select("encoding", "delimiter", "o_orderkey", "note")
+    return read_delimited(spark, folder).join(F.broadcast(found), "source_file").select("encoding", "delimiter", "o_orderkey", "note")
 
 
 @query(
