@@ -611,3 +611,29 @@ def test_pipeline_stages_keep_columns(spark, docs, labels, benchmark, tmp_path):
 def test_pipeline(spark):
     made = corpus_pipeline.run(spark, SMALL)
     assert made.count() > 0 and {"doc_id", "text", "shard", "slot"} <= set(made.columns)
+
+
+def test_crowds_of_lines(spark, monkeypatch):
+    """Near copies of one line by the hundred: no row for each of their pairs, and every link counted."""
+    pick = random.Random(5)
+    base, other = ([f"{a}{i}" for i in range(60)] for a in "ab")
+    texts = [" ".join(["both"] + [w if pick.random() > 0.04 else f"n{pick.random()}" for w in line]) for line in (base, other) for _ in range(140)]
+    texts += [" ".join(["both"] + [f"o{pick.randrange(300)}" for _ in range(40)]) for _ in range(60)]
+    stored = {}
+    keep = line_dedup.materialize
+
+    def count(df, purpose):
+        made = keep(df, purpose)
+        stored[purpose] = max(stored.get(purpose, 0), made.count())
+        return made
+
+    monkeypatch.setattr(line_dedup, "materialize", count)
+    monkeypatch.setattr(line_dedup, "CROWD", 20, raising=False)
+    monkeypatch.setattr(line_dedup, "BLOCK", 50, raising=False)
+    made = line_dedup.line_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = [sets_of(t)[0] for t in texts]
+    similar = [[j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
+    wanted = {(i, 1, int(min(j) < i), len({sets[x] for x in j} - {sets[i]}), "0" if min(j) < i else "") for i, j in enumerate(similar)}
+    assert sum(r[3] for r in wanted) > 20_000
+    assert {tuple(r) for r in made.collect()} == wanted
+    assert stored["line-pairs"] < 4_000
